@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mizan.llm import neardup
+from mizan.llm import decontam, mixing, neardup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_minhash_near_dedup": neardup.op10}
+    return {
+        "op7_source_mixing": mixing.op7,
+        "op9_benchmark_decontamination": decontam.op9,
+        "op10_minhash_near_dedup": neardup.op10,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_source_mixing": mixing.OP7_SQL,
+        "op9_benchmark_decontamination": decontam.OP9_SQL,
+    }
