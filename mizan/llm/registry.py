@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mizan.llm import decontam, mixing, neardup
+from mizan.llm import decontam, mixing, neardup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_toxicity": toxicity.op6,
         "op7_source_mixing": mixing.op7,
         "op9_benchmark_decontamination": decontam.op9,
         "op10_minhash_near_dedup": neardup.op10,

@@ -90,7 +90,11 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
 def words(column: pa.Array, prefixes: tuple[int, ...] = ()) -> Words:
     """Words of a string column; prefixes: also hash the first so many bytes of each word (0 where a word is shorter)."""
     raw, at = buffers(column)
-    data = LOWER[raw]
+    return scan(LOWER[raw], at, prefixes)
+
+
+def scan(data: np.ndarray, at: np.ndarray, prefixes: tuple[int, ...] = ()) -> Words:
+    """Words of texts that begin at at (and end at its last) in the bytes data."""
     n = len(data)
     starts, ends, hashes, heads = [], [], [], {k: [] for k in prefixes}
     begins = np.zeros(n + 1, dtype=bool)
