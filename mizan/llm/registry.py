@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mizan.llm import decontam, mixing, neardup, toxicity
+import corpus_pipeline
+from mizan.llm import decontam, mixing, neardup, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
+        "op1_token_output": tokens.op1,
         "op6_toxicity": toxicity.op6,
         "op7_source_mixing": mixing.op7,
         "op9_benchmark_decontamination": decontam.op9,
