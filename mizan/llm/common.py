@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +33,11 @@ class Scratch:
         df.write.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def observed(self, df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:
+        """keep(), and metrics of what was written, from the same job."""
+        seen = Observation()
+        return self.keep(df.observe(seen, *metrics), name), seen.get
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
         jvm = self.spark.sparkContext._jvm

@@ -26,8 +26,8 @@ def components(links: DataFrame, scratch: Scratch, tag: str, rounds: int = 100)
         large = large.filter("hi > lo").distinct()
         up = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(up, "hi").select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo"))
-        edges = scratch.keep(small.filter("hi > lo").distinct(), f"{tag}-{n}")
-        now = edges.agg(F.count("*"), F.sum("lo"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        sums = (F.count("*").alias("n"), F.sum("lo").alias("lo"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h"))
+        edges, now = scratch.observed(small.filter("hi > lo").distinct(), f"{tag}-{n}", *sums)
         scratch.drop(f"{tag}-{n - 1}")
         if now == before:
             break

@@ -14,10 +14,9 @@ from mizan.llm.common import Scratch, read
 from mizan.llm.components import components
 from mizan.llm.words import U, mix, pieces, shingle_sets, words
 
-#: Members of a band's bucket up to which all its pairs of different components are compared at once.
-SMALL = 48
-#: Rounds in which a larger bucket's members are first compared with one member each time.
-LEADERS = 4
+#: Most rounds in which a bucket's members are first compared with one more member, while comparing all that is apart
+#: would be much work.
+LEADERS = 6
 
 
 def banding(threshold: float, coordinates: int = 192, miss: float = 1e-6) -> tuple[int, int]:
@@ -120,7 +119,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, t
 
     Equal sets are one class from the start, so copies make no pairs. Classes that share a band's key are candidates. A
     class is first compared with the bucket's leader, and only classes that are not yet in one component are compared
-    further: large buckets against one more member in each round, then whatever is still apart, pair by pair. Members
+    further: with one more member in each round while much is apart, then whatever is still apart, pair by pair. Members
     of one component need no comparison, so a group of copies costs work in proportion to its size, and none is capped.
 
     Null and empty texts, and texts of white space: no shingles, a component of their own. Texts shorter than a shingle:
@@ -147,32 +146,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, t
     size_of = reps.select(F.col("rep").alias("leader"), F.col("n").alias("nl"))
     star = bucket.filter("rep <> leader").select("rep", "n", "leader").distinct().join(size_of, "leader").filter(near(F.col("n"), F.col("nl")))
     links = tmp.keep(verified(star.select(F.col("rep").alias("a"), F.col("leader").alias("b")), sets, threshold), "links-0")
+    at_once = max(1_000_000, 16 * reps.count())
     for turn in range(1, LEADERS + 2):
         comp = tmp.keep(components(links, tmp, f"comp-{turn}"), f"roots-{turn}")
         placed = bucket.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        apart = placed.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("band", "key")
-        open_ = tmp.keep(placed.join(apart, ["band", "key"], "left_semi").select("band", "key", "size", "rep", "n", "root"), f"open-{turn}")
-        tries = []
-        x, y = open_.alias("x"), open_.alias("y")
-        if turn == 1:  # small buckets: all pairs of different components, SMALL ** 2 / 2 at most
-            s, t = x.filter(f"size <= {SMALL}"), y.filter(f"size <= {SMALL}")
-            tries.append(s.join(t, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root"))))
-        large = open_.filter(f"size > {SMALL}")
-        if turn <= LEADERS:
+        part = placed.groupBy("band", "key", "root").count().groupBy("band", "key")
+        most = part.agg(F.sum("count").alias("size"), F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1")
+        apart, found = tmp.observed(most.select("band", "key", F.col("top.root").alias("top"), (F.col("size") * (F.col("size") - F.col("top.count"))).alias("work")), f"apart-{turn}", F.sum("work").alias("work"))
+        if not found["work"]:
+            break
+        open_ = tmp.keep(placed.join(apart, ["band", "key"]).select("band", "key", "top", "rep", "n", "root"), f"open-{turn}")
+        last = found["work"] <= at_once or turn > LEADERS
+        if last:  # what is in no bucket's largest component, with all of the bucket
+            partner = open_.filter("root <> top")
+        else:
             pick = F.struct(F.xxhash64("rep", "band", F.lit(turn)).alias("p"), "rep", "n", "root")
-            chief = large.groupBy("band", "key").agg(F.min(pick).alias("c")).select("band", "key", "c.rep", "c.n", "c.root")
-            tries.append(large.alias("x").join(chief.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))))
-        else:  # what is in no bucket's largest component, with all of the bucket
-            each = large.groupBy("band", "key", "root").count()
-            top = each.groupBy("band", "key").agg(F.max(F.struct("count", "root"))["root"].alias("top"))
-            outer = large.join(top, ["band", "key"]).filter("root <> top").drop("top")
-            tries.append(large.alias("x").join(outer.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))))
-        for i, pairs in enumerate(tries):
-            pairs = pairs.filter(near(F.col("x.n"), F.col("y.n"))).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-            more = tmp.keep(verified(pairs, sets, threshold), f"links-{turn}-{i}")
-            links = links.union(more)
-        tmp.drop(f"roots-{turn}")
-        if large.limit(1).isEmpty():
+            partner = open_.groupBy("band", "key").agg(F.min(pick).alias("c")).select("band", "key", "c.rep", "c.n", "c.root")
+        meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
+        pairs = open_.alias("x").join(partner.alias("y"), meet).filter(near(F.col("x.n"), F.col("y.n")))
+        pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+        links = links.union(tmp.keep(verified(pairs, sets, threshold), f"links-{turn}"))
+        tmp.drop(f"roots-{turn}", f"apart-{turn}", f"open-{turn}")
+        if last:
             break
     comp = tmp.keep(components(links.union(same), tmp, "comp"), "roots")
     tmp.drop("sets", "buckets")
