@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from mizan.llm.words import U, mix, pieces, shingle_sets, words
 
 #: Most rounds in which a bucket's members are first compared with one more member, while comparing all that is apart
 #: would be much work.
-LEADERS = 6
+LEADERS = 3
 
 
 def banding(threshold: float, coordinates: int = 192, miss: float = 1e-6) -> tuple[int, int]:
@@ -65,8 +66,24 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
-def sketch(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n, h1, h2, bands): size, 128-bit content key and band keys of each text's shingle set."""
+def signature_bits(signature: np.ndarray) -> np.ndarray:
+    """One bit of each coordinate, 64 to a number: two sets' bits differ with half the chance that coordinates do."""
+    bits = (signature * np.uint32(0x9E3779B1)) >> np.uint32(31)
+    return np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
+
+
+def most_differing(threshold: float, coordinates: int, miss: float = 1e-6) -> int:
+    """Bits in which signatures of a pair at the threshold differ at most, but for a chance of miss (Chernoff's bound)."""
+    p = (1 - threshold) / 2
+    for k in range(int(p * coordinates) + 1, coordinates):
+        q = k / coordinates
+        if math.exp(-coordinates * (q * math.log(q / p) + (1 - q) * math.log((1 - q) / (1 - p)))) <= miss:
+            return k
+    return coordinates
+
+
+def sketch(docs: DataFrame, shingle: int, bands: int, rows: int, coordinates: int) -> DataFrame:
+    """(doc_id, n, h1, h2, bands, bits): size, 128-bit content key, band keys and bits of each text's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,16 +93,19 @@ def sketch(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                 full = n > 0
                 begin = at[:-1][full]
                 h1, h2 = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-                keys = np.zeros((0, bands), np.uint64)
+                keys, bits = np.zeros((0, bands), np.uint64), np.zeros((0, coordinates // 64), np.int64)
                 if full.any():
                     h1[full] = np.add.reduceat(mix(value ^ U(0x5851F42D4C957F2D)), begin).view(np.int64)
                     h2[full] = np.add.reduceat(mix(value ^ U(0x14057B7EF767814F)), begin).view(np.int64)
-                    keys = band_keys(signatures(value, np.append(begin, at[-1]), bands * rows), bands, rows)
-                ends = np.concatenate([[0], np.cumsum(full * bands)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(h1), pa.array(h2), lists], ["doc_id", "n", "h1", "h2", "bands"])
+                    coordinate = signatures(value, np.append(begin, at[-1]), coordinates)
+                    keys, bits = band_keys(coordinate[:, : bands * rows], bands, rows), signature_bits(coordinate)
+                lists = []
+                for x in (keys, bits):
+                    ends = np.concatenate([[0], np.cumsum(full * x.shape[1])]).astype(np.int32)
+                    lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel().view(np.int64))))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(h1), pa.array(h2), *lists], ["doc_id", "n", "h1", "h2", "bands", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, bands array<long>, bits array<long>")
 
 
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -111,7 +131,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     ).select("a", "b")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, threshold: int = 80, coordinates: int = 192) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, threshold: int = 80, coordinates: int = 384) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
 
     Texts are sets of distinct runs of `shingle` words; two are linked if 100 * intersection >= threshold * union, which
@@ -126,16 +146,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, t
     their whole sequence is the one shingle. A null doc_id: component null, kept. Repeated doc_ids: each row is judged;
     rows with one id are one node of the graph. An empty table: no rows. Further columns are not looked at.
     """
-    bands, rows = banding(threshold / 100, coordinates)
+    bands, rows = banding(threshold / 100, coordinates // 2)
+    differ = most_differing(threshold / 100, coordinates)
     tmp = Scratch(spark, "neardup")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = tmp.keep(sketch(base, shingle, bands, rows), "sketch")
+    seen = tmp.keep(sketch(base, shingle, bands, rows, coordinates), "sketch")
     some = seen.filter("n > 0 and doc_id is not null")
     # one class for each different set; its representative is its smallest doc_id
-    reps = tmp.keep(some.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("copies")), "reps")
+    reps = tmp.keep(some.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "bits"), "doc_id").alias("sig"), F.count("*").alias("copies")), "reps")
     member = some.select("doc_id", "n", "h1", "h2").join(reps.filter("copies > 1").select("n", "h1", "h2", "rep"), ["n", "h1", "h2"])
     same = member.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
-    rows_of = reps.select("rep", "n", F.posexplode("bands").alias("band", "key"))
+    rows_of = reps.select("rep", "n", F.posexplode("sig.bands").alias("band", "key"))
     first = F.struct(F.xxhash64("rep").alias("p"), "rep")
     shared = rows_of.groupBy("band", "key").agg(F.count("*").alias("size"), F.min(first)["rep"].alias("leader")).filter("size > 1")
     bucket = tmp.keep(rows_of.join(shared, ["band", "key"]).select("band", "key", "size", "leader", "rep", "n"), "buckets")
@@ -146,7 +167,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, t
     size_of = reps.select(F.col("rep").alias("leader"), F.col("n").alias("nl"))
     star = bucket.filter("rep <> leader").select("rep", "n", "leader").distinct().join(size_of, "leader").filter(near(F.col("n"), F.col("nl")))
     links = tmp.keep(verified(star.select(F.col("rep").alias("a"), F.col("leader").alias("b")), sets, threshold), "links-0")
-    at_once = max(1_000_000, 16 * reps.count())
+    at_once = max(100_000, 2 * reps.count())
     for turn in range(1, LEADERS + 2):
         comp = tmp.keep(components(links, tmp, f"comp-{turn}"), f"roots-{turn}")
         placed = bucket.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
@@ -155,15 +176,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, t
         apart, found = tmp.observed(most.select("band", "key", F.col("top.root").alias("top"), (F.col("size") * (F.col("size") - F.col("top.count"))).alias("work")), f"apart-{turn}", F.sum("work").alias("work"))
         if not found["work"]:
             break
-        open_ = tmp.keep(placed.join(apart, ["band", "key"]).select("band", "key", "top", "rep", "n", "root"), f"open-{turn}")
+        open_ = tmp.keep(placed.join(apart, ["band", "key"]).select("band", "key", "top", "rep", "n", "root").join(reps.select("rep", "sig"), "rep"), f"open-{turn}")
         last = found["work"] <= at_once or turn > LEADERS
         if last:  # what is in no bucket's largest component, with all of the bucket
             partner = open_.filter("root <> top")
         else:
-            pick = F.struct(F.xxhash64("rep", "band", F.lit(turn)).alias("p"), "rep", "n", "root")
-            partner = open_.groupBy("band", "key").agg(F.min(pick).alias("c")).select("band", "key", "c.rep", "c.n", "c.root")
+            pick = F.struct(F.xxhash64("rep", "band", F.lit(turn)).alias("p"), "rep")
+            chief = open_.groupBy("band", "key").agg(F.min(pick)["rep"].alias("rep"))
+            partner = open_.join(chief, ["band", "key", "rep"], "left_semi")
         meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
-        pairs = open_.alias("x").join(partner.alias("y"), meet).filter(near(F.col("x.n"), F.col("y.n")))
+        apart_bits = sum(F.bit_count(F.col("x.sig.bits")[i].bitwiseXOR(F.col("y.sig.bits")[i])) for i in range(coordinates // 64))
+        # a pair that shares several buckets comes from the first of them
+        first_met = F.expr(f"not exists(sequence(0, {bands}), i -> i < x.band and get(x.sig.bands, i) = get(y.sig.bands, i))")
+        meet = meet & near(F.col("x.n"), F.col("y.n")) & (apart_bits <= differ) & first_met
+        pairs = open_.alias("x").join(partner.alias("y"), meet)
         pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
         links = links.union(tmp.keep(verified(pairs, sets, threshold), f"links-{turn}"))
         tmp.drop(f"roots-{turn}", f"apart-{turn}", f"open-{turn}")
