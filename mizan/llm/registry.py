@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from mizan.llm import decontam, mixing, neardup, tokens, toxicity
+from mizan.llm import decontam, fingerprint, mixing, neardup, sharding, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": corpus_pipeline.run,
         "op1_token_output": tokens.op1,
+        "op2_virtual_slot_sharding": sharding.op2,
+        "op3_fingerprints": fingerprint.op3,
         "op6_toxicity": toxicity.op6,
         "op7_source_mixing": mixing.op7,
         "op9_benchmark_decontamination": decontam.op9,
