@@ -73,7 +73,7 @@ def mix(docs: DataFrame, domain: Column, *, budget: Column = F.floor(F.col("all"
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("epoch").cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = docs.drop("domain", "n_tokens", "leaf_tokens", "leaf_target", "copies").withColumns({"domain": F.coalesce(domain.cast("string"), F.lit("")), "n_tokens": F.size(word_list(F.col("text"))).cast("long")})
-    named = rows.withColumns({"__lang": F.coalesce("lang", F.lit("")), "__source": F.coalesce("source", F.lit(""))})
+    named = rows.withColumns({"__lang": F.coalesce("lang", F.lit("")), "__source": F.coalesce("source", F.lit("")), "__text": F.xxhash64("text")})
     leaf = ["domain", "__lang", "__source"]
     leaves = named.groupBy(*leaf).agg(F.sum("n_tokens").alias("supply")).toDF("domain", "lang", "source", "supply")
     plan = leaf_budgets(leaves, budget, max_epochs, domains, languages, sources or {}, other).toDF(*leaf, "supply", "target")
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, domain: Column, *, budget: Column = F.floor(F.col("all"
     keyed = named.join(plan, leaf).withColumn("__key", key).withColumn("__bin", F.substring("__key", 1, BIN_DIGITS))
     bins = keyed.groupBy(*leaf, "__bin").agg(F.sum("n_tokens").alias("__sum"))
     bins = bins.withColumn("__ahead", F.coalesce(F.sum("__sum").over(Window.partitionBy(*leaf).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
-    within = Window.partitionBy(*leaf, "__bin").orderBy("__key", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*leaf, "__bin").orderBy("__key", "__text").rowsBetween(Window.unboundedPreceding, 0)
     summed = keyed.join(bins, [*leaf, "__bin"]).withColumn("__to", F.col("__ahead") + F.sum("n_tokens").over(within))
     last = (F.col("__to") <= F.col("target") - F.col("epoch") * F.col("supply")).cast("int")
     out = summed.withColumn("copies", F.when(F.col("target") > 0, F.col("epoch") + F.when(F.col("epoch") < max_epochs, last).otherwise(0)).otherwise(0).cast("int"))
