@@ -59,10 +59,10 @@ def leaf_budgets(leaves: DataFrame, budget: Column, max_epochs: int, domains: di
     return pour(low, ["domain", "lang"], "source").select("domain", "lang", "source", "supply", F.col("alloc").alias("target"))
 
 
-def mix(docs: DataFrame, domain: Column, *, budget: Column = F.floor(F.col("all") * 8 / 10), max_epochs: int = 2, seed: int = 42, domains: dict = DOMAINS, languages: dict = LANGUAGES, sources: dict | None = None, other: int = OTHER) -> DataFrame:
+def mix(docs: DataFrame, domain: Column, *, budget: Column | None = None, max_epochs: int = 2, seed: int = 42, domains: dict = DOMAINS, languages: dict = LANGUAGES, sources: dict | None = None, other: int = OTHER) -> DataFrame:
     """docs with domain, n_tokens, leaf_tokens, leaf_target and copies: how often a document is taken.
 
-    budget: the tokens wanted, an expression that may use `all` (those there are). A leaf that must give more than it
+    budget: the tokens wanted, an expression that may use `all` (those there are); four fifths of all by default. A leaf that must give more than it
     holds is gone through in whole epochs first; in its last epoch it gives the longest prefix, in an order hashed from
     seed, epoch and doc_id, that its target still holds. Prefix sums run over hash bins, then within one bin, so a leaf
     with a third of all rows is summed by many tasks.
@@ -71,6 +71,7 @@ def mix(docs: DataFrame, domain: Column, *, budget: Column = F.floor(F.col("all"
     the order. Repeated or null doc_ids: one hash, so they stand together, ordered by text. An empty table: no rows.
     Other columns are kept; columns with the names above are replaced.
     """
+    budget = F.floor(F.col("all") * 8 / 10) if budget is None else budget
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("epoch").cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = docs.drop("domain", "n_tokens", "leaf_tokens", "leaf_target", "copies").withColumns({"domain": F.coalesce(domain.cast("string"), F.lit("")), "n_tokens": F.size(word_list(F.col("text"))).cast("long")})
     named = rows.withColumns({"__lang": F.coalesce("lang", F.lit("")), "__source": F.coalesce("source", F.lit("")), "__text": F.xxhash64("text")})
