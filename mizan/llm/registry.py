@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from mizan.llm import chat, decontam, fingerprint, mixing, neardup, sharding, tokens, toxicity, urls
+from mizan.llm import chat, decontam, fingerprint, mixing, neardup, pitman_yor, sharding, tokens, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_output": tokens.op1,
         "op2_virtual_slot_sharding": sharding.op2,
         "op3_fingerprints": fingerprint.op3,
+        "op4_lm_scoring": pitman_yor.op4,
         "op5_chat_formatting": chat.op5,
         "op6_toxicity": toxicity.op6,
         "op7_source_mixing": mixing.op7,
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_lm_scoring": pitman_yor.op4,
         "op5_chat_formatting": chat.OP5_SQL,
         "op7_source_mixing": mixing.OP7_SQL,
         "op9_benchmark_decontamination": decontam.OP9_SQL,
