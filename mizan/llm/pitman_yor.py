@@ -11,11 +11,13 @@ context. Buckets read the restaurants' sizes of the sweep before, as distributed
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +31,8 @@ CONTEXT_BITS, BLOCK_BITS = 22, 14
 #: Bytes of text whose tokens make one bucket, and that make one chunk of documents.
 BUCKET, CHUNK = 24 << 20, 8 << 20
 END, START = U(0x7FEA2B1D90C3E5A7), U(0x1B56C4E9F0A3D827)
-#: Customers of one dish that are seated one by one; more are seated by jumps to the next new table.
-STEPWISE = 48
+#: Customers of one dish that are seated one by one; those after them come in lots of this share of those seated.
+STEPWISE, BLOCK = 48, 0.125
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -66,16 +68,17 @@ def tokens_of(column: pa.Array, bits: int = CONTEXT_BITS) -> Tokens:
     return Tokens(word, (mix(before.copy()) >> U(64 - bits)).astype(np.uint32), doc, first)
 
 
-def bucket_of(word: np.ndarray, context: np.ndarray, buckets: int, hot: np.ndarray) -> np.ndarray:
-    """The bucket of each token: by word; a hot word's tokens by word and context."""
-    spread = np.where(np.isin(word, hot), mix(word ^ mix(context.astype(np.uint64) + U(1))), mix(word.copy())) if len(hot) else mix(word.copy())
-    return ((spread >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
+def spread_of(word: np.ndarray, context: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """64 bits whose order is that of the buckets: from the word; of a hot word, from word and context."""
+    spread = mix(word.copy())
+    if len(hot):
+        warm = np.isin(word, hot)
+        spread[warm] = mix(word[warm] ^ mix(context[warm].astype(np.uint64) + U(1)))
+    return spread
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series, two steps up for small x."""
-    y = x + 2
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(x) - np.log(x + 1)
+def bucket_of(spread: np.ndarray, buckets: int) -> np.ndarray:
+    return ((spread >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
 
 
 def seat(c: np.ndarray, d: float, theta: float, others: np.ndarray, parent: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -83,35 +86,24 @@ def seat(c: np.ndarray, d: float, theta: float, others: np.ndarray, parent: np.n
     seated at k tables the next opens one with weight (theta + d (others + k)) parent, against n - d k.
 
     others: the restaurant's tables for other dishes; parent: the dish's probability in the parent restaurant. The first
-    always opens one. A dish of over STEPWISE customers is seated by jumps: how many join old tables before the next new
-    one follows from ratios of gamma functions, so its work grows with its tables, not with its customers.
+    always opens one. Customers of a dish beyond STEPWISE are seated in lots, for which the weights stand still at the
+    lot's middle, so a dish's work grows with the logarithm of its customers.
     """
     k = np.ones(len(c), np.int64)
     order = np.argsort(-c, kind="stable")
-    low = order[np.searchsorted(-c[order], -STEPWISE, side="left") :]
-    size = c[low]
-    for n in range(1, int(size[0]) if len(size) else 1):
-        some = low[: np.searchsorted(-size, -n, side="left")]  # those with more than n customers
+    size = c[order]
+    n, most = 1, int(size[0]) if len(size) else 1
+    while n < most:
+        some = order[: np.searchsorted(-size, -n, side="left")]  # those with more than n customers
         weight = (theta + d * (others[some] + k[some])) * parent[some]
-        k[some] += rng.random(len(some)) * (weight + n - d * k[some]) < weight
-    rest = order[: len(order) - len(low)]
-    n = np.ones(len(rest), np.int64)
-    while len(rest):
-        a = (theta + d * (others[rest] + k[rest])) * parent[rest]
-        x = n - d * k[rest]
-        fixed = log_gamma(x) - log_gamma(x + a)
-        aim = np.log(rng.random(len(rest)))
-        lo, hi = n.copy(), c[rest].copy()  # the last m with P(no new table among n+1..m) >= u
-        while (lo < hi).any():
-            m = (lo + hi + 1) // 2
-            y = m - d * k[rest]
-            stay = (log_gamma(y) - log_gamma(y + a)) - fixed >= aim
-            lo, hi = np.where(stay, m, lo), np.where(stay, hi, m - 1)
-        more = lo < c[rest]
-        k[rest[more]] += 1
-        n, rest = lo[more] + 1, rest[more]
-        n_left = n < c[rest]
-        n, rest = n[n_left], rest[n_left]
+        new = weight / (weight + n - d * k[some] + (BLOCK * n // 2 if n >= STEPWISE else 0))
+        if n < STEPWISE:
+            k[some] += rng.random(len(some)) < new
+            n += 1
+        else:
+            step = max(1, int(BLOCK * n))
+            k[some] += rng.binomial(np.minimum(c[some] - n, step), new)
+            n += step
     return k
 
 
@@ -155,24 +147,21 @@ def blocks_of(context: np.ndarray, n: np.ndarray) -> list[dict]:
 
 BLOCKS = "array<struct<block: int, data: binary>>"
 STATE = f"bucket int, words binary, at binary, context binary, c binary, known long, ones long, twos long, distinct long, root1 long, root2 long, hot binary, hot_c binary, blocks {BLOCKS}, tokens array<struct<chunk: long, pair: binary, doc: binary>>, metas array<struct<chunk: long, docs: binary, held: binary, nulls: binary, n: binary>>"
-SWEPT = f"bucket int, words binary, at binary, context binary, c binary, t binary, t1 binary, customers1 long, tables1 long, hot binary, hot_c1 binary, blocks {BLOCKS}"
+SWEPT = f"customers1 long, tables1 long, hot binary, hot_c1 binary, blocks {BLOCKS}"
 
 
 def deal(docs: DataFrame, buckets: int, hot: np.ndarray, bits: int) -> DataFrame:
-    """(bucket, chunk, words, counts, contexts, docs, meta): each chunk's tokens for each bucket, sorted by word and
-    context; a chunk's documents themselves are dealt to one bucket, with no tokens."""
+    """(bucket, chunk, words, counts, contexts, docs, meta): each chunk's tokens for each bucket, word by
+    word; a chunk's documents themselves are dealt to one bucket, with no tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in pieces(batch, "text", CHUNK):
                 t = tokens_of(part.column("text"), bits)
-                home = bucket_of(t.word, t.context, buckets, hot)
-                low = (t.context.astype(np.uint64) << U(32)) | t.doc.astype(np.uint64)
-                order = np.argsort(low, kind="stable")
-                order = order[np.argsort(t.word[order], kind="stable")]
-                order = order[np.argsort(home[order], kind="stable")]
-                home, word, context, doc = home[order], t.word[order], t.context[order], t.doc[order].astype(np.uint32)
+                spread = spread_of(t.word, t.context, hot)
+                order = np.argsort(spread, kind="stable")
+                home, word, context, doc = bucket_of(spread[order], buckets), t.word[order], t.context[order], t.doc[order].astype(np.uint32)
                 used, at = np.unique(home, return_index=True)
                 rows = []
                 for b, i, j in zip(used, at, [*at[1:], len(home)], strict=True):
@@ -199,7 +188,7 @@ _STATE = pa.schema(
     + [("hot", pa.binary()), ("hot_c", pa.binary()), ("blocks", _BLOCKS), ("tokens", pa.list_(pa.struct([("chunk", pa.int64()), ("pair", pa.binary()), ("doc", pa.binary())])))]
     + [("metas", pa.list_(pa.struct([("chunk", pa.int64()), *[(k, pa.binary()) for k in ("docs", "held", "nulls", "n")]])))]
 )
-_SWEPT = pa.schema([("bucket", pa.int32()), *[(k, pa.binary()) for k in ("words", "at", "context", "c", "t", "t1")], ("customers1", pa.int64()), ("tables1", pa.int64()), ("hot", pa.binary()), ("hot_c1", pa.binary()), ("blocks", _BLOCKS)])
+_SWEPT = pa.schema([("customers1", pa.int64()), ("tables1", pa.int64()), ("hot", pa.binary()), ("hot_c1", pa.binary()), ("blocks", _BLOCKS)])
 
 
 def gather(dealt: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -211,31 +200,33 @@ def gather(dealt: DataFrame, hot: np.ndarray) -> DataFrame:
         own = [r for r in rows if r["meta"] is None]
         metas = [r["meta"] | {"chunk": r["chunk"]} for r in rows if r["meta"] is not None]
         z = lambda t: np.zeros(0, t)
-        word = np.concatenate([np.repeat(unpack(r["words"], np.uint64), unpack(r["counts"], np.uint32)) for r in own] or [z(np.uint64)])
+        parts = [unpack(r["words"], np.uint64) for r in own]
+        terms = np.unique(np.concatenate(parts or [z(np.uint64)]))
+        rank = np.concatenate([np.repeat(np.searchsorted(terms, p), unpack(r["counts"], np.uint32)) for p, r in zip(parts, own, strict=True)] or [z(np.int64)])
         context = np.concatenate([unpack(r["contexts"], np.uint32) for r in own] or [z(np.uint32)])
         docs = [unpack(r["docs"], np.uint32) for r in own]
         teaches = np.concatenate([~unpack(r["held"], np.bool_)[d] for r, d in zip(own, docs, strict=True)] or [z(bool)])
-        order = np.argsort(context, kind="stable")
-        order = order[np.argsort(word[order], kind="stable")]
-        w, x = word[order], context[order]
-        new_w = np.ones(len(w), bool)
-        new_w[1:] = w[1:] != w[:-1]
-        new = new_w.copy()
-        new[1:] |= x[1:] != x[:-1]
-        pair = np.empty(len(w), np.int64)
+        both = (rank.astype(np.uint64) << U(32)) | context
+        order = np.argsort(both, kind="stable")
+        both = both[order]
+        new = np.ones(len(both), bool)
+        new[1:] = both[1:] != both[:-1]
+        pair = np.empty(len(both), np.int64)
         pair[order] = np.cumsum(new) - 1
+        both = both[new]
+        x = both.astype(np.uint32)
         n = int(new.sum())
         c = np.bincount(pair[teaches], minlength=n).astype(np.int64)
-        terms, at = w[new_w], np.append(np.searchsorted(np.flatnonzero(new), np.flatnonzero(new_w)), n)
+        at = np.searchsorted(both >> U(32), np.arange(len(terms) + 1, dtype=np.uint64))
         total = np.add.reduceat(c, at[:-1]) if len(terms) else c
         kinds = np.add.reduceat((c > 0).astype(np.int64), at[:-1]) if len(terms) else c
         warm = np.isin(terms, hot)
         size = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
         some = c > 0
         tokens = [{"chunk": r["chunk"], "pair": pack(np.diff(pair[i:j], prepend=0).astype(np.int32)), "doc": pack(d)} for r, d, i, j in zip(own, docs, size[:-1], size[1:], strict=True)]
-        row = {"bucket": int(rows[0]["bucket"]), "words": pack(terms), "at": pack(at.astype(np.int32)), "context": pack(x[new]), "c": pack(c.astype(np.int32) if not n or c.max() < 1 << 31 else c)}
+        row = {"bucket": int(rows[0]["bucket"]), "words": pack(terms), "at": pack(at.astype(np.int32)), "context": pack(x), "c": pack(c.astype(np.int32) if not n or c.max() < 1 << 31 else c)}
         row |= {"known": int(c.sum()), "ones": int((c == 1).sum()), "twos": int((c == 2).sum()), "distinct": int(((total > 0) & ~warm).sum()), "root1": int((kinds == 1).sum()), "root2": int((kinds == 2).sum())}
-        row |= {"hot": pack(terms[warm]), "hot_c": pack(total[warm]), "blocks": blocks_of(x[new][some], c[some]), "tokens": tokens, "metas": metas}
+        row |= {"hot": pack(terms[warm]), "hot_c": pack(total[warm]), "blocks": blocks_of(x[some], c[some]), "tokens": tokens, "metas": metas}
         return pa.Table.from_pylist([row], _STATE)
 
     return dealt.groupBy("bucket").applyInArrow(run, STATE)
@@ -271,28 +262,51 @@ def hot_sums(rows: DataFrame, value: str) -> dict[int, int]:
 
 
 def hot_words(docs: DataFrame, buckets: int) -> np.ndarray:
-    """Words that may make up more than an eighth of a bucket's share of all tokens: such a word does so in some task."""
+    """Words that may make up more than an eighth of a bucket's share of all tokens, 16 times the buckets at most.
+
+    A chunk tells of the words that are over half of that share of it; what is left out of such a word's count is then
+    under half of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, n, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         for batch in batches:
             for part in pieces(batch, "text", CHUNK):
-                h = words(part.column("text")).hashes
-                total += len(h) + part.num_rows
-                u, k = np.unique(np.concatenate([word, h, np.repeat(END, part.num_rows)]), return_inverse=True)
-                weight = np.concatenate([n, np.ones(len(h) + part.num_rows, np.int64)])
-                word, n = u, np.bincount(k, weight, len(u)).astype(np.int64)
-                if len(word) > 1 << 20:  # lossy counting: what is left out is rarer than the bound
-                    keep = n * 64 * buckets >= total
-                    word, n = word[keep], n[keep]
-        some = n * 16 * buckets >= total
-        yield pa.RecordBatch.from_arrays([pa.array(word[some].view(np.int64))], ["word"])
-
-    found = docs.select("text").mapInArrow(run, "word long").distinct().toPandas()["word"]
+                w = words(part.column("text"))
+                total = len(w.hashes) + part.num_rows
+                u, n = np.unique(w.hashes, return_counts=True)
+                u, n = np.append(u, [END, U(0)]), np.append(n, [part.num_rows, total])
+                some = n * 16 * buckets >= total
+                yield pa.RecordBatch.from_arrays([pa.array(u[some].view(np.int64)), pa.array(n[some].astype(np.int64))], ["word", "n"])
+
+    told = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    whole = told.filter("word = 0").select(F.col("n").alias("total"))
+    found = told.filter("word <> 0").crossJoin(F.broadcast(whole)).filter(F.col("n") * 16 * buckets >= F.col("total")).select("word").toPandas()["word"]
     return np.sort(found.to_numpy(np.int64).view(np.uint64))
 
 
-def sweep(state: DataFrame, shape: Shape, before: Sample, seed: int, first: bool) -> DataFrame:
+class Seats:
+    """Tables of each bucket's pairs and words after each sweep: a file for each in the shared folder. Tasks write under
+    a name of their own and rename, so one that is tried again does no harm."""
+
+    def __init__(self, root: str):
+        self.root = root
+
+    def write(self, sweep: int, bucket: int, t: np.ndarray, t1: np.ndarray) -> None:
+        fs, at = pa.fs.FileSystem.from_uri(self.root)
+        fs.create_dir(f"{at}/{sweep}", recursive=True)
+        mine = f"{at}/{sweep}/.{bucket}-{uuid.uuid4().hex}"
+        with fs.open_output_stream(mine) as f:
+            for x in (pack(t), pack(t1)):
+                f.write(len(x).to_bytes(8, "little") + x)
+        fs.move(mine, f"{at}/{sweep}/{bucket}")
+
+    def read(self, sweep: int, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+        fs, at = pa.fs.FileSystem.from_uri(self.root)
+        with fs.open_input_stream(f"{at}/{sweep}/{bucket}") as f:
+            t, t1 = (unpack(f.read(int.from_bytes(f.read(8), "little")), np.int64) for _ in range(2))
+        return t, t1
+
+
+def sweep(state: DataFrame, seats: Seats, n: int, shape: Shape, before: Sample, seed: int) -> DataFrame:
     """Every bucket's pairs seated anew, then the root's tables for its words."""
     shared = state.sparkSession.sparkContext.broadcast((shape, before))
 
@@ -302,11 +316,11 @@ def sweep(state: DataFrame, shape: Shape, before: Sample, seed: int, first: bool
             for r in batch.to_pylist():
                 terms, at, context = unpack(r["words"], np.uint64), unpack(r["at"], np.int32), unpack(r["context"], np.uint32)
                 c = counts_of(r["c"], len(context))
-                t = np.minimum(c, 1) if first else counts_of(r["t"], len(c))
+                t, t1 = seats.read(n - 1, r["bucket"]) if n else (np.minimum(c, 1), None)
                 kinds = np.diff(at)
                 add = lambda v, at=at, terms=terms: np.add.reduceat(v, at[:-1]) if len(terms) else v
                 c1 = add(t)
-                t1 = np.minimum(c1, 1) if first else counts_of(r["t1"], len(terms))
+                t1 = np.minimum(c1, 1) if t1 is None else t1
                 hot = np.isin(terms, np.array(sorted(shape.hot), np.uint64))
                 for i in np.flatnonzero(hot):
                     c1[i], t1[i] = before.hot[int(terms[i])]
@@ -324,12 +338,11 @@ def sweep(state: DataFrame, shape: Shape, before: Sample, seed: int, first: bool
                 even = np.full(len(many), 1 / (shape.distinct + 1))
                 t1[many] = seat(c1[many], shape.d1, shape.theta1, np.full(len(many), before.tables1), even, rng)
                 has = c > 0
-                row = {k: r[k] for k in ("bucket", "words", "at", "context", "c")} | {"t": pack(t.astype(np.int32)), "t1": pack(t1.astype(np.int32)), "customers1": int(c1.sum()), "tables1": int(t1.sum())}
-                row |= {"hot": pack(terms[hot]), "hot_c1": pack(warm), "blocks": blocks_of(context[has], t[has])}
+                seats.write(n, r["bucket"], t, t1)
+                row = {"customers1": int(c1.sum()), "tables1": int(t1.sum()), "hot": pack(terms[hot]), "hot_c1": pack(warm), "blocks": blocks_of(context[has], t[has])}
                 yield pa.RecordBatch.from_pylist([row], _SWEPT)
 
-    keep = ["bucket", "words", "at", "context", "c"] + ([] if first else ["t", "t1"])
-    return state.select(*keep).mapInArrow(run, SWEPT)
+    return state.select("bucket", "words", "at", "context", "c").mapInArrow(run, SWEPT)
 
 
 def gathered(swept: DataFrame, shape: Shape, before: Sample, seed: int, bits: int) -> Sample:
@@ -343,12 +356,9 @@ def gathered(swept: DataFrame, shape: Shape, before: Sample, seed: int, bits: in
     return Sample(by_block(swept, bits), sums["c"] + int(c1.sum()), sums["t"] + int(t1.sum()), {w: (int(a), int(b)) for w, a, b in zip(word, c1, t1, strict=True)})
 
 
-def partial_scores(state: DataFrame, kept: list[DataFrame], shape: Shape, samples: list[Sample]) -> DataFrame:
+def partial_scores(state: DataFrame, seats: Seats, shape: Shape, samples: dict[int, Sample]) -> DataFrame:
     """(chunk, docs, n_known, base, score, meta): each bucket's part of each document's sums."""
     shared = state.sparkSession.sparkContext.broadcast((shape, samples))
-    joined = state.select("bucket", "words", "at", "context", "c", "tokens", "metas")
-    for i, k in enumerate(kept):
-        joined = joined.join(k.select("bucket", F.col("t").alias(f"t_{i}"), F.col("t1").alias(f"t1_{i}")), "bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape, samples = shared.value
@@ -365,8 +375,8 @@ def partial_scores(state: DataFrame, kept: list[DataFrame], shape: Shape, sample
                 base = np.log10((total + 0.5) / (shape.known + 0.5 * (shape.distinct + 1)))
                 base, known = np.repeat(base, kinds), np.repeat(total > 0, kinds)
                 p = np.zeros(len(c))
-                for k, s in enumerate(samples):
-                    t, t1 = counts_of(r[f"t_{k}"], len(c)), counts_of(r[f"t1_{k}"], len(terms))
+                for n, s in samples.items():
+                    t, t1 = seats.read(n, r["bucket"])
                     c1 = add(t)
                     for j, w in hot:
                         c1[j], t1[j] = s.hot[w]
@@ -381,7 +391,7 @@ def partial_scores(state: DataFrame, kept: list[DataFrame], shape: Shape, sample
                     out.append({"chunk": x["chunk"], "docs": pack(some), "n_known": pack(sums[0].astype(np.uint32)), "base": pack(sums[1]), "score": pack(sums[2])})
                 yield pa.RecordBatch.from_pylist(out, _PART)
 
-    return joined.mapInArrow(run, "chunk long, docs binary, n_known binary, base binary, score binary, meta struct<docs: binary, held: binary, nulls: binary, n: binary>")
+    return state.select("bucket", "words", "at", "context", "c", "tokens", "metas").mapInArrow(run, "chunk long, docs binary, n_known binary, base binary, score binary, meta struct<docs: binary, held: binary, nulls: binary, n: binary>")
 
 
 _PART = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("n_known", pa.binary()), ("base", pa.binary()), ("score", pa.binary()), ("meta", _BLOBS)])
@@ -430,15 +440,13 @@ def scores(spark: SparkSession, docs: DataFrame, *, sweeps: int = 3, kept: int =
     shape = Shape(buckets, s["known"], s["distinct"] + sum(n > 0 for n in warm.values()), discount(s["ones"], s["twos"]), discount(s["root1"], s["root2"]), theta, theta1, by_block(state, bits), warm)
     # before the first sweep every pair sits at one table, as if its restaurant had a table for each
     now = Sample(np.minimum(shape.customers, 1), 1, 1, {w: (1, 1) for w in warm})
-    states, samples = [state], []
+    seats, samples = Seats(tmp.path("seats")), {}
     for n in range(sweeps):
-        swept = tmp.keep(sweep(states[-1], shape, now, seed * 1000 + n, n == 0), f"sweep-{n}")
+        swept = tmp.keep(sweep(state, seats, n, shape, now, seed * 1000 + n), f"sweep-{n}")
         now = gathered(swept, shape, now, seed * 1000 + n, bits)
-        states.append(swept)
-        samples.append(now)
-        if n and n - 1 < sweeps - kept:
-            tmp.drop(f"sweep-{n - 1}")
-    return summed(partial_scores(state, states[-kept:], shape, samples[-kept:]), shape.known)
+        tmp.drop(f"sweep-{n}", *([f"seats/{n - 1}"] if n and n - 1 < sweeps - kept else []))
+        samples[n] = now
+    return summed(partial_scores(state, seats, shape, {n: samples[n] for n in list(samples)[-kept:]}), shape.known)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
