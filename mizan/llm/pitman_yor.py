@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -119,7 +119,7 @@ class Sample:
 
 @dataclass
 class Shape:
-    """What all buckets share of the counts. known, distinct: N and V; hot: a hot word's training count."""
+    """What all buckets share of the counts; customers: by restaurant. known, distinct: N and V; hot: a hot word's training count."""
 
     buckets: int
     known: int
@@ -136,6 +136,17 @@ class Shape:
         return (np.maximum(c1 - self.d1 * t1, 0) + (self.theta1 + self.d1 * s.tables1) / (self.distinct + 1)) / (self.theta1 + s.customers1)
 
 
+def share(spark: SparkSession, shape: Shape, samples: dict[int, Sample]):
+    """Both as a broadcast: arrays of 2**CONTEXT_BITS numbers, packed, and a bounded number of hot words."""
+    small = {n: replace(s, tables=pack(s.tables)) for n, s in samples.items()}
+    return spark.sparkContext.broadcast((replace(shape, customers=pack(shape.customers)), small))
+
+
+def shared_by(value: tuple[Shape, dict[int, Sample]]) -> tuple[Shape, dict[int, Sample]]:
+    shape, samples = value
+    return replace(shape, customers=unpack(shape.customers, np.int64)), {n: replace(s, tables=unpack(s.tables, np.int64)) for n, s in samples.items()}
+
+
 def blocks_of(context: np.ndarray, n: np.ndarray) -> list[dict]:
     """Sums of n by restaurant, in blocks of 2**BLOCK_BITS restaurants."""
     order = np.argsort(context, kind="stable")
@@ -249,7 +260,7 @@ def by_block(rows: DataFrame, bits: int) -> np.ndarray:
     out = np.zeros(max(1 << bits, 1 << BLOCK_BITS), np.int64)
     for r in summed.collect():  # 2**bits numbers at most
         out[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = unpack(bytes(r["data"]), np.int64)
-    return out.astype(np.int32) if not len(out) or out.max() < 1 << 31 else out
+    return out
 
 
 def hot_sums(rows: DataFrame, value: str) -> dict[int, int]:
@@ -306,12 +317,12 @@ class Seats:
         return t, t1
 
 
-def sweep(state: DataFrame, seats: Seats, n: int, shape: Shape, before: Sample, seed: int) -> DataFrame:
+def sweep(state: DataFrame, seats: Seats, n: int, shared, seed: int) -> DataFrame:
     """Every bucket's pairs seated anew, then the root's tables for its words."""
-    shared = state.sparkSession.sparkContext.broadcast((shape, before))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape, before = shared.value
+        shape, samples = shared_by(shared.value)
+        (before,) = samples.values()
         for batch in batches:
             for r in batch.to_pylist():
                 terms, at, context = unpack(r["words"], np.uint64), unpack(r["at"], np.int32), unpack(r["context"], np.uint32)
@@ -356,12 +367,11 @@ def gathered(swept: DataFrame, shape: Shape, before: Sample, seed: int, bits: in
     return Sample(by_block(swept, bits), sums["c"] + int(c1.sum()), sums["t"] + int(t1.sum()), {w: (int(a), int(b)) for w, a, b in zip(word, c1, t1, strict=True)})
 
 
-def partial_scores(state: DataFrame, seats: Seats, shape: Shape, samples: dict[int, Sample]) -> DataFrame:
+def partial_scores(state: DataFrame, seats: Seats, shared) -> DataFrame:
     """(chunk, docs, n_known, base, score, meta): each bucket's part of each document's sums."""
-    shared = state.sparkSession.sparkContext.broadcast((shape, samples))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape, samples = shared.value
+        shape, samples = shared_by(shared.value)
         for batch in batches:
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1).to_pylist()[0]
@@ -442,11 +452,14 @@ def scores(spark: SparkSession, docs: DataFrame, *, sweeps: int = 3, kept: int =
     now = Sample(np.minimum(shape.customers, 1), 1, 1, {w: (1, 1) for w in warm})
     seats, samples = Seats(tmp.path("seats")), {}
     for n in range(sweeps):
-        swept = tmp.keep(sweep(state, seats, n, shape, now, seed * 1000 + n), f"sweep-{n}")
+        shared = share(spark, shape, {n: now})
+        swept = tmp.keep(sweep(state, seats, n, shared, seed * 1000 + n), f"sweep-{n}")
+        shared.destroy()
         now = gathered(swept, shape, now, seed * 1000 + n, bits)
         tmp.drop(f"sweep-{n}", *([f"seats/{n - 1}"] if n and n - 1 < sweeps - kept else []))
         samples[n] = now
-    return summed(partial_scores(state, seats, shape, {n: samples[n] for n in list(samples)[-kept:]}), shape.known)
+    shared = share(spark, shape, {n: samples[n] for n in list(samples)[-kept:]})
+    return summed(partial_scores(state, seats, shared), shape.known)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
