@@ -29,7 +29,7 @@ from mizan.llm.words import U, mix, pieces, words
 
 CONTEXT_BITS, BLOCK_BITS = 22, 14
 #: Bytes of text whose tokens make one bucket, and that make one chunk of documents.
-BUCKET, CHUNK = 24 << 20, 8 << 20
+BUCKET, CHUNK = 12 << 20, 4 << 20
 END, START = U(0x7FEA2B1D90C3E5A7), U(0x1B56C4E9F0A3D827)
 #: Customers of one dish that are seated one by one; those after them come in lots of this share of those seated.
 STEPWISE, BLOCK = 48, 0.125
