@@ -138,13 +138,13 @@ class Shape:
 
 def share(spark: SparkSession, shape: Shape, samples: dict[int, Sample]):
     """Both as a broadcast: arrays of 2**CONTEXT_BITS numbers, packed, and a bounded number of hot words."""
-    small = {n: replace(s, tables=pack(s.tables)) for n, s in samples.items()}
-    return spark.sparkContext.broadcast((replace(shape, customers=pack(shape.customers)), small))
+    small = {n: replace(s, tables=(pack(s.tables), s.tables.dtype)) for n, s in samples.items()}
+    return spark.sparkContext.broadcast((replace(shape, customers=(pack(shape.customers), shape.customers.dtype)), small))
 
 
 def shared_by(value: tuple[Shape, dict[int, Sample]]) -> tuple[Shape, dict[int, Sample]]:
     shape, samples = value
-    return replace(shape, customers=unpack(shape.customers, np.int64)), {n: replace(s, tables=unpack(s.tables, np.int64)) for n, s in samples.items()}
+    return replace(shape, customers=unpack(*shape.customers)), {n: replace(s, tables=unpack(*s.tables)) for n, s in samples.items()}
 
 
 def blocks_of(context: np.ndarray, n: np.ndarray) -> list[dict]:
@@ -219,7 +219,7 @@ def gather(dealt: DataFrame, hot: np.ndarray) -> DataFrame:
         teaches = np.concatenate([~unpack(r["held"], np.bool_)[d] for r, d in zip(own, docs, strict=True)] or [z(bool)])
         both = (rank.astype(np.uint64) << U(32)) | context
         order = np.argsort(both, kind="stable")
-        both = both[order]
+        both, rank, context = both[order], None, None
         new = np.ones(len(both), bool)
         new[1:] = both[1:] != both[:-1]
         pair = np.empty(len(both), np.int64)
@@ -260,7 +260,7 @@ def by_block(rows: DataFrame, bits: int) -> np.ndarray:
     out = np.zeros(max(1 << bits, 1 << BLOCK_BITS), np.int64)
     for r in summed.collect():  # 2**bits numbers at most
         out[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = unpack(bytes(r["data"]), np.int64)
-    return out
+    return out.astype(np.int32) if out.max() < 1 << 31 else out
 
 
 def hot_sums(rows: DataFrame, value: str) -> dict[int, int]:
@@ -398,7 +398,7 @@ def partial_scores(state: DataFrame, seats: Seats, shared) -> DataFrame:
                     pair, doc = np.cumsum(unpack(x["pair"], np.int32).astype(np.int64)), unpack(x["doc"], np.uint32)
                     some, row = np.unique(doc, return_inverse=True)
                     sums = [np.bincount(row, v[pair], len(some)) for v in (known, base, score)]
-                    out.append({"chunk": x["chunk"], "docs": pack(some), "n_known": pack(sums[0].astype(np.uint32)), "base": pack(sums[1]), "score": pack(sums[2])})
+                    out.append({"chunk": x["chunk"], "docs": pack(some), "n_known": pack(sums[0].astype(np.uint32)), "base": pack(sums[1]), "score": pack(sums[2].astype(np.float32))})
                 yield pa.RecordBatch.from_pylist(out, _PART)
 
     return state.select("bucket", "words", "at", "context", "c", "tokens", "metas").mapInArrow(run, "chunk long, docs binary, n_known binary, base binary, score binary, meta struct<docs: binary, held: binary, nulls: binary, n: binary>")
@@ -419,7 +419,7 @@ def summed(parts: DataFrame, known: int) -> DataFrame:
         for r in sorted(parts, key=lambda r: bytes(r["docs"]) + bytes(r["base"])):  # one order, whatever the shuffle's
             docs = unpack(r["docs"], np.uint32)
             for k, v in sums.items():
-                v[docs] += unpack(r[k], np.uint32 if k == "n_known" else np.float64)
+                v[docs] += unpack(r[k], {"n_known": np.uint32, "base": np.float64, "score": np.float32}[k])
         held, n = unpack(meta["held"], np.bool_), unpack(meta["n"], np.int64)
         return pa.table({"doc_id": pa.array(ids, mask=nulls), "held_out": held, "n_tokens": n, "n_known": sums["n_known"], "train_tokens": np.full(len(ids), known), "base_score": sums["base"], "score": sums["score"]})
 
