@@ -53,7 +53,8 @@ def years_old_at_most(column: str, years: int, year_now: int) -> Column:
 
 
 def mileage_for_age_at_most(km: str, year: str, per_year: int, year_now: int) -> Column:
-    age = F.greatest(F.lit(year_now) - F.col(year), F.lit(0.5))
+    """The age counts half a year at least; without mileage or year nothing passes."""
+    age = F.when(F.col(year).isNotNull(), F.greatest(F.lit(year_now) - F.col(year), F.lit(0.5)))
     return F.coalesce(F.col(km) <= age * per_year, F.lit(False))
 
 
