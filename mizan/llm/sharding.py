@@ -76,7 +76,8 @@ def place(docs: DataFrame, table: DataFrame) -> DataFrame:
     Numbers come from counts: of the slots before in the shard, of the parts before in the slot, of the rows before in
     the part; so a hot id is numbered in parts. The table of offsets has SLOTS * PARTS rows at most and is broadcast.
     """
-    rows = with_slots(docs).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS)))
+    rows = with_slots(docs)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(PARTS)).cast("int"))  # from values, so a second reading parts alike
     counts = rows.groupBy("virtual_slot", "part").agg(F.count("*").alias("n"))
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     ahead = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
