@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from mizan.llm.common import Scratch, read
 
 CALLS = "array<struct<id: string, name: string, arguments: string, after: array<string>>>"
+#: Fixed schemas of the registered query: (tool, argument, type, required).
+SCHEMAS = (("search", "query", "string", True), ("search", "limit", "integer", False), ("fetch", "url", "string", True), ("calculate", "expression", "string", True), ("calculate", "digits", "integer", False))
 
 
 def parsed(text: Column) -> Column:
@@ -49,24 +51,55 @@ def faults(spark: SparkSession, calls: DataFrame, schemas: DataFrame) -> DataFra
     return every.groupBy(*key).agg(F.array_sort(F.collect_set("f")).alias("faults"))
 
 
-def levels(calls: DataFrame, scratch: Scratch, most: int = 1000) -> DataFrame:
+def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
     """(conv_id, call_id, level): 0 for calls that wait for none, else one more than the latest call they wait for. Calls
-    on a cycle, or behind one, have no level; ids that name no call of the conversation are not waited for. One join a
-    level: a call is placed once as many of its edges are placed as it has."""
-    nodes = calls.filter("call_id is not null").select("conv_id", "call_id").distinct()
-    edges = calls.select("conv_id", "call_id", F.explode("after").alias("before")).distinct()
+    on a cycle, or behind one, have no level; ids that name no call of the conversation are not waited for.
+
+    Calls that wait for one other are first hung on the nearest call above them that waits for none or for several, by
+    doubling their steps: a chain takes as many joins as its length has binary digits. The others are placed once as many
+    of their edges are placed as they have, one join for each of them on a path. Both go on until no row is new."""
+    key = ["conv_id", "call_id"]
+    nodes = calls.filter("call_id is not null").select(*key).distinct()
+    edges = calls.select(*key, F.explode("after").alias("before")).distinct()
     edges = scratch.keep(edges.join(nodes.withColumnRenamed("call_id", "before"), ["conv_id", "before"]), "edges")
-    need = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("need"))
-    placed = scratch.keep(nodes.join(need, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "level-0")
-    for n in range(1, most):
-        done = placed.withColumnRenamed("call_id", "before")
-        met = edges.join(done, ["conv_id", "before"]).groupBy("conv_id", "call_id").agg(F.count("*").alias("met"), F.max("level").alias("level"))
-        new = met.join(need, ["conv_id", "call_id"]).filter("met = need").join(placed, ["conv_id", "call_id"], "left_anti")
-        new, seen = scratch.observed(new.select("conv_id", "call_id", (F.col("level") + 1).alias("level")), f"level-{n}", F.count("*").alias("n"))
+    need = edges.groupBy(*key).agg(F.count("*").alias("need"), F.min("before").alias("top"))
+    # up: the call, the one it hangs on, the steps between them, and whether that one is an end
+    kinds = nodes.join(need, key, "left").withColumn("need", F.coalesce("need", F.lit(0)))
+    ends = scratch.keep(kinds.filter("need <> 1").select(*key, "need"), "ends")
+    up = scratch.keep(kinds.filter("need = 1").select(*key, "top", F.lit(1).alias("steps")).join(ends.select("conv_id", F.col("call_id").alias("top"), F.lit(True).alias("ended")), ["conv_id", "top"], "left").select(*key, "top", "steps", F.coalesce("ended", F.lit(False)).alias("ended")), "up-0")
+    rounds, open_ = 0, None
+    while True:
+        above = up.select("conv_id", F.col("call_id").alias("top"), F.col("top").alias("__top"), F.col("steps").alias("__steps"), F.col("ended").alias("__ended"))
+        # a call that hangs on an end keeps it; no end is in `above`
+        next_ = up.join(above, ["conv_id", "top"], "left").select(*key, F.coalesce("__top", "top").alias("top"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps"), (F.col("ended") | F.coalesce("__ended", F.lit(False))).alias("ended"))
+        rounds += 1
+        up, seen = scratch.observed(next_, f"up-{rounds}", F.count_if(~F.col("ended")).alias("n"))
+        if seen["n"] == 0 or seen["n"] == open_:  # what stays open is on a cycle or hangs on one
+            break
+        open_ = seen["n"]
+    hung = up.filter("ended").select(*key, "top", "steps")
+    # of the edges of calls that wait for several: (call, end above it, steps to that end)
+    several = ends.filter("need > 1")
+    direct = edges.join(several, key).select(*key, "before")
+    way = hung.select("conv_id", F.col("call_id").alias("before"), "top", "steps")
+    links = direct.join(way, ["conv_id", "before"], "left").join(ends.select("conv_id", F.col("call_id").alias("before"), F.lit(True).alias("is_end")), ["conv_id", "before"], "left")
+    links = scratch.keep(links.filter("top is not null or is_end").select(*key, F.coalesce("top", "before").alias("top"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")), "links")
+    fresh = scratch.keep(ends.filter("need = 0").select(*key, F.lit(0).alias("level"), F.lit(0).cast("long").alias("need")), "level-0")
+    waiting = several.select(*key, F.lit(None).cast("int").alias("level"), F.col("need").cast("long").alias("need"))
+    names, n = ["level-0"], 0
+    while True:
+        # need counts the edges still open, level is the largest level met
+        met = links.join(fresh.select("conv_id", F.col("call_id").alias("top"), F.col("level").alias("__at")), ["conv_id", "top"]).groupBy(*key).agg(F.count("*").alias("met"), F.max(F.col("__at") + F.col("steps")).alias("at"))
+        state = waiting.join(met, key, "left").select(*key, F.greatest("level", "at").alias("level"), (F.col("need") - F.coalesce("met", F.lit(0))).alias("need"))
+        n += 1
+        state, seen = scratch.observed(state, f"level-{n}", F.count_if(F.col("need") == 0).alias("n"))
         if not seen["n"]:
             break
-        placed = placed.unionByName(new)
-    return placed
+        names.append(f"level-{n}")
+        fresh, waiting = state.filter("need = 0"), state.filter("need > 0")
+    placed = scratch.spark.read.schema(state.schema).parquet(*[scratch.path(x) for x in names]).filter("need = 0").select(*key, "level")
+    below = hung.join(placed.withColumnRenamed("call_id", "top"), ["conv_id", "top"]).select(*key, (F.col("level") + F.col("steps")).alias("level"))
+    return placed.unionByName(below)
 
 
 def link(spark: SparkSession, messages: DataFrame, schemas: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -107,9 +140,16 @@ def link(spark: SparkSession, messages: DataFrame, schemas: DataFrame | None = N
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages; their calls are op5_tool_calls, for OP5_SQL has the messages' columns alone."""
     return link(spark, read(spark, sf_dir, "conversations"))[0]
 
 
+def op5_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls of op5's messages: order, canonical arguments, results, status, and faults by SCHEMAS."""
+    schemas = spark.createDataFrame(SCHEMAS, "name string, field string, type string, required boolean")
+    return link(spark, read(spark, sf_dir, "conversations"), schemas)[1]
+
+
 OP5_SQL = """
 SELECT conv_id, turn, role, CAST(json_object('content', text, 'role', role) AS VARCHAR) AS json, CAST(0 AS BIGINT) AS n_calls, CAST(NULL AS VARCHAR) AS answers
 FROM conversations
