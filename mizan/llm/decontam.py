@@ -52,7 +52,8 @@ def with_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, sh
     `shingle` words; the whole item, if it is shorter) at least share % are in the document's text.
 
     One pass over the documents and no shuffle, if the benchmark is small (SMALL_BENCHMARK, counted first). Otherwise
-    sketch values meet documents' shingles in a shuffled join, which takes docs(doc_id) to name one row each.
+    sketch values meet documents' shingles in a shuffled join, keyed by what is compared: texts and sets of shingles, by
+    SHA-256. Either way ids name nothing, so rows may repeat or lack them.
     Null and empty texts, and items without words: no leaks. Repeated items: each is reported. An empty benchmark: no
     leaks. A null item_id is kept as null. docs keeps all its columns; a column named leaks is replaced.
     """
@@ -76,15 +77,18 @@ def with_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, sh
         near = lambda h: F.filter("__items", lambda it: F.arrays_overlap(it["probe"], h))
         leaks = lambda w: let(shingle_hashes(w, widths), lambda h: F.when(F.arrays_overlap(h, F.col("__probe")), judged(w, near(h))).otherwise(nothing))
         return docs.crossJoin(F.broadcast(one)).withColumn("leaks", let(word_list(F.col("text")), leaks)).drop("__items", "__probe")
-    probes = items.select(F.explode("probe").alias("h"), "item_id", "n", "shingles")
-    mine = docs.select("doc_id", F.explode(let(word_list(F.col("text")), lambda w: F.array_distinct(shingle_hashes(w, widths)))).alias("h"))
-    found = mine.join(probes.select("h", "item_id"), "h").select("doc_id", "item_id").distinct()
-    texts = docs.select("doc_id", "text").join(found.select("doc_id").distinct(), "doc_id")
-    parts = texts.select("doc_id", F.explode(let(word_list(F.col("text")), lambda w: F.array_distinct(F.concat(*[runs(w, F.lit(n), lambda r: F.array_join(r, " ")) for n in widths])))).alias("s"))
-    whole = items.select("item_id", "n", F.explode("shingles").alias("s")).join(found, "item_id")
-    shared = whole.join(parts, ["doc_id", "s"]).groupBy("doc_id", "item_id", "n").agg(F.count("*").cast("int").alias("shared"))
-    leaks = shared.filter(enough(F.col("shared"), F.col("n"))).groupBy("doc_id").agg(F.collect_list(F.struct(F.col("item_id").cast("long").alias("item_id"), "shared", F.col("n").cast("int").alias("n"))).alias("leaks"))
-    return docs.join(leaks, "doc_id", "left").withColumn("leaks", F.coalesce("leaks", nothing))
+    # items with the same shingles are one set, documents with the same text one text; ids are joined back at the end
+    sets = items.groupBy(F.sha2(F.array_join(F.array_sort("shingles"), "\n"), 256).alias("__set")).agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("probe").alias("probe"), F.collect_list(F.struct("item_id")).alias("ids"))
+    keyed = docs.withColumn("__text", F.sha2("text", 256))
+    mine = keyed.select("__text", F.explode(let(word_list(F.col("text")), lambda w: F.array_distinct(shingle_hashes(w, widths)))).alias("h"))
+    found = mine.join(sets.select(F.explode("probe").alias("h"), "__set"), "h").select("__text", "__set").distinct()
+    texts = keyed.select("__text", "text").join(found.select("__text").distinct(), "__text").dropDuplicates(["__text"])
+    parts = texts.select("__text", F.explode(let(word_list(F.col("text")), lambda w: F.array_distinct(F.concat(*[runs(w, F.lit(n), lambda r: F.array_join(r, " ")) for n in widths])))).alias("s"))
+    whole = sets.select("__set", "n", F.explode("shingles").alias("s")).join(found, "__set")
+    shared = whole.join(parts, ["__text", "s"]).groupBy("__text", "__set", "n").agg(F.count("*").cast("int").alias("shared"))
+    each = shared.filter(enough(F.col("shared"), F.col("n"))).join(sets.select("__set", F.explode("ids").alias("id")), "__set")
+    leaks = each.groupBy("__text").agg(F.collect_list(F.struct(F.col("id.item_id").cast("long").alias("item_id"), "shared", F.col("n").cast("int").alias("n"))).alias("leaks"))
+    return keyed.join(leaks, "__text", "left").withColumn("leaks", F.coalesce("leaks", nothing)).select(*docs.columns, "leaks")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Operators held against brute force where they once did less than the whole job."""
 
+import collections
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from mizan.llm import chat, registry
+from mizan.llm import chat, decontam, registry
 from mizan.llm.common import Scratch
 
 CHAT = "conv_id long, turn long, role string, text string"
@@ -89,3 +91,32 @@ def test_registered_calls(spark, tmp_path):
     assert sorted(got, key=str) == sorted(want, key=str) and {w[8] for w in want} == {"linked", "no result", "repeated id", "no id"}
     shown = registry.queries()["op5_chat_formatting"](spark, str(tmp_path)).collect()
     assert sum(r["n_calls"] for r in shown) == len(calls) and len(shown) == len(rows)
+
+
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_leaks_of_repeated_and_null_ids(spark, monkeypatch, small):
+    monkeypatch.setattr(decontam, "SMALL_BENCHMARK", small)
+    w = [f"w{i}" for i in range(40)]
+    half, most = " ".join(w[:12]), " ".join(w[:20])
+    items = [(1, half + " q r s t u v w x y z a b"), (1, half + " q r s t u v w x y z a b"), (2, most), (2, most), (3, most), (4, " ".join(w[20:32])), (4, " ".join(w[24:36])), (None, most), (None, "only here"), (5, None), (6, ""), (7, "one"), (8, "OTHER  words of ours that stand for nothing")]
+    docs = [(1, "x " + half + " y"), (2, " ".join(w[:30])), (2, " ".join(w[:30])), (2, " ".join(w[20:])), (None, "so " + most), (None, "it is only here"), (3, None), (4, ""), (5, "one"), (None, None), (6, " ".join(w[:18]))]
+
+    def runs(x, k):
+        x = x.split()
+        return {tuple(x[i : i + k]) for i in range(len(x) - k + 1)}
+
+    def leaks(text):
+        out = []
+        for i, t in items:
+            k = min(5, len((t or "").split()))
+            s = runs((t or "").lower(), k) if k else set()
+            shared = len(s & runs((text or "").lower(), k)) if k else 0
+            if s and shared * 100 >= len(s) * 80:
+                out.append((i, shared, len(s)))
+        return tuple(sorted(out, key=str))
+
+    want = collections.Counter((i, t, leaks(t)) for i, t in docs)
+    found = decontam.with_leaks(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert found.columns == ["doc_id", "text", "leaks"]
+    assert collections.Counter((r["doc_id"], r["text"], tuple(sorted(map(tuple, r["leaks"]), key=str))) for r in found.collect()) == want
+    assert leaks(docs[0][1]) == () and len(leaks(docs[4][1])) == 4
