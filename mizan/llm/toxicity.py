@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,8 +22,8 @@ SEEDS = ("asshole", "bastard", "bitch", "clown", "crap", "disgusting", "dumb", "
 YOU = ("you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "te", "toi", "ton", "ta", "vous", "votre", "tú", "ti", "usted", "ustedes", "vos", "vosotros", "su")
 #: Bytes of a word's beginning that are lexicon terms of their own: stems of inflected insults.
 STEMS = (4, 5, 6, 7)
-#: Bounds of what is fitted on: labelled rows, and lexicon terms.
-MAX_LABELLED, MAX_TERMS = 200_000, 20_000
+#: Bound of what is fitted on: labelled rows.
+MAX_LABELLED = 200_000
 #: The decision threshold on the calibrated score.
 REJECT = 0.3
 FEATURES = ("hits", "hit_rate", "weight_rate", "heaviest", "distinct", "stem_hits", "stem_rate", "densest", "near_you", "you_rate", "near_rate", "capitals", "shouted", "exclaims", "questions", "punctuation", "repeated", "obfuscated", "symbols", "digits", "stretched", "word_length", "log_words")
@@ -133,8 +132,8 @@ def dense(column: pa.Array, lexicon: Lexicon, window: int = 40, reach: int = 3)
     return np.stack(columns, axis=1).astype(np.float64)
 
 
-def term_counts(docs: DataFrame, known: np.ndarray | None = None) -> DataFrame:
-    """(term, n): in how many texts each term (a word, or a word's stem) is; known: count only these."""
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(term, n): in how many texts each term (a word, or a word's stem) is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +142,7 @@ def term_counts(docs: DataFrame, known: np.ndarray | None = None) -> DataFrame:
                 text = w.text_of
                 every = np.concatenate([w.hashes, *[w.prefixes[k] for k in STEMS]])
                 owner = np.concatenate([text] * (1 + len(STEMS)))
-                some = np.isin(every, known) if known is not None else every != 0
+                some = every != 0
                 every, owner = every[some], owner[some]
                 _, i = np.unique(mix(every ^ mix(owner.astype(np.uint64) + U(1))), return_index=True)
                 term, n = np.unique(every[i], return_counts=True)
@@ -154,24 +153,20 @@ def term_counts(docs: DataFrame, known: np.ndarray | None = None) -> DataFrame:
 
 def learn_lexicon(labelled: DataFrame, least: int = 3, evidence: float = 20.0) -> Lexicon:
     """Terms that labelled(text, label) ties to label 1: log-odds (smoothed) over 1.5, and a likelihood ratio (G2) that
-    chance hardly gives; at most MAX_TERMS terms, those in most toxic texts."""
+    chance hardly gives. All terms are judged where they are counted; those that pass are collected, as many as the
+    labelled sample has."""
     size = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     seeds = {hash_of(x): 3.0 for x in SEEDS}
     if toxic and clean:
-        often = term_counts(labelled.filter("label = 1")).filter(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(MAX_TERMS).toPandas()
-        pos = dict(zip(often["term"].to_numpy(np.int64).view(np.uint64).tolist(), often["n"].tolist(), strict=True))
-        known = np.sort(np.array(list(pos), np.uint64))
-        rest = term_counts(labelled.filter("label = 0"), known).toPandas()  # MAX_TERMS rows at most
-        neg = dict(zip(rest["term"].to_numpy(np.int64).view(np.uint64).tolist(), rest["n"].tolist(), strict=True))
-        every = toxic + clean
-        for term, a in pos.items():
-            b = neg.get(term, 0)
-            odds = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
-            ea, eb = toxic * (a + b) / every, clean * (a + b) / every
-            g2 = 2 * (a * math.log(a / ea) + (b * math.log(b / eb) if b else 0.0))
-            if odds > 1.5 and g2 >= evidence:
-                seeds[term] = max(seeds.get(term, 0.0), min(odds, 8.0))
+        often = term_counts(labelled.filter("label = 1")).filter(F.col("n") >= least).select("term", F.col("n").alias("a"))
+        both = often.join(term_counts(labelled.filter("label = 0")).select("term", F.col("n").alias("b")), "term", "left").select("term", "a", F.coalesce("b", F.lit(0)).alias("b"))
+        a, b, share = F.col("a"), F.col("b"), (F.col("a") + F.col("b")) / (toxic + clean)
+        odds = F.log((a + 0.5) / (toxic + 1)) - F.log((b + 0.5) / (clean + 1))
+        g2 = 2 * (a * F.log(a / (toxic * share)) + F.when(b > 0, b * F.log(b / (clean * share))).otherwise(0.0))
+        tied = both.select("term", odds.alias("odds"), g2.alias("g2")).filter((F.col("odds") > 1.5) & (F.col("g2") >= evidence)).select("term", "odds").toPandas()
+        for term, weight in zip(tied["term"].to_numpy(np.int64).view(np.uint64).tolist(), tied["odds"].tolist(), strict=True):
+            seeds[term] = max(seeds.get(term, 0.0), min(weight, 8.0))
     terms = np.array(sorted(seeds), np.uint64)
     return Lexicon(terms, np.array([seeds[int(t)] for t in terms]))
 
