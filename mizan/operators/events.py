@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 TEHRAN = "Asia/Tehran"
 
@@ -174,12 +178,33 @@ def within_budget(rows: DataFrame, day: str, order: list[Column], budget: int, r
 
 
 def throttled(digests: DataFrame, key: str, at: str, minutes: int = 120, most: int = 8) -> DataFrame:
-    """digests that are sent: `minutes` after the one before, and among the first `most` of their Tehran day."""
-    w = Window.partitionBy(key).orderBy(at)
-    gap = (F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(w).cast("timestamp"))) / 60e6
-    spaced = digests.withColumn("__gap", gap).filter(F.col("__gap").isNull() | (F.col("__gap") >= minutes)).drop("__gap")
-    day = spaced.withColumn("day", tehran_day(F.col(at)))
-    return day.withColumn("place", F.row_number().over(Window.partitionBy(key, "day").orderBy(at))).filter(F.col("place") <= most)
+    """digests that are sent, with day and place: `minutes` or more after the last one sent, and among the first `most` of
+    their Tehran day. One that is not sent, for either reason, holds back none. A null instant has no gap to keep.
+
+    A key's digests are read in order by one task, which carries the last sent instant and the day's count; it holds a
+    batch at a time, however many a key has."""
+    order = digests.withColumns({"day": tehran_day(F.col(at)), "__us": F.unix_micros(F.col(at).cast("timestamp")), "__key": F.col(key).cast("string")})
+    kept = [*digests.columns, "day"]
+    schema = StructType([*[order.schema[c] for c in kept], StructField("place", IntegerType())])
+    gap = minutes * 60_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, now, last, today, n = True, None, None, None, 0
+        for batch in batches:
+            rows, places = [], []
+            for i, (k, us, day) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("__key", "__us", "day")], strict=True)):
+                if first or k != now:
+                    first, now, last, today, n = False, k, None, None, 0
+                if day != today:
+                    today, n = day, 0
+                if n < most and (us is None or last is None or us - last >= gap):
+                    last, n = us, n + 1
+                    rows.append(i)
+                    places.append(n)
+            some = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[some.column(c) for c in kept], pa.array(places, pa.int32())], [*kept, "place"])
+
+    return order.repartition("__key").sortWithinPartitions("__key", "__us").mapInArrow(run, schema)
 
 
 def once(notices: DataFrame) -> DataFrame:
