@@ -29,7 +29,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op4_lm_scoring": pitman_yor.op4,
         "op5_chat_formatting": chat.OP5_SQL,
         "op7_source_mixing": mixing.OP7_SQL,
         "op9_benchmark_decontamination": decontam.OP9_SQL,
