@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mizan.llm.common import Scratch
 
 
-def components(links: DataFrame, scratch: Scratch, tag: str, rounds: int = 100) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """(id, root) for every id of links(a, b): root is the smallest id that links lead to.
 
     Alternating large-star and small-star steps (Kiveris and others, 2014): every step hangs neighbours onto the
@@ -18,8 +18,9 @@ def components(links: DataFrame, scratch: Scratch, tag: str, rounds: int = 100)
     edges = scratch.keep(
         links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi > lo").distinct(), f"{tag}-0"
     )
-    before = None
-    for n in range(1, rounds):
+    before, n = None, 0
+    while True:  # until a step changes nothing
+        n += 1
         both = edges.union(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("id", "near")
         least = both.groupBy("id").agg(F.min("near").alias("m")).select("id", F.least("id", "m").alias("m"))
         large = both.filter("near > id").join(least, "id").select(F.col("near").alias("hi"), F.col("m").alias("lo"))

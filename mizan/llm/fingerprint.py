@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from mizan.llm.common import read
 from mizan.llm.words import BYTE_VALUE, U, Words, buffers, mix, pieces, window_hashes, words
 
-#: Lanes of 64 bits hashed from the whole paragraph (equality), and of 16 bits from its word shingles (likeness).
+#: Lanes of 64 bits hashed from the whole paragraph (equality), and of 32 bits from its word shingles (likeness).
 WIDE, NARROW, SHINGLE = 16, 256, 3
 #: A paragraph of fewer words is sketched by runs of bytes instead.
 SHORT, GRAM = 6, 4
@@ -27,7 +27,7 @@ def by_byte(column: pa.Array) -> Words:
 
 
 class Fingerprints:
-    """One fingerprint for each of several multisets of paragraphs: sums of their vectors, modulo 2**64 and 2**16.
+    """One fingerprint for each of several multisets of paragraphs: sums of their vectors, modulo 2**64 and 2**32.
 
     Sums do not depend on order, and a paragraph is inserted or deleted by adding or subtracting its vector.
     """
@@ -52,7 +52,7 @@ class Fingerprints:
         run, row = np.concatenate([run[long], grams]), np.concatenate([row[long], np.repeat(owner[short], np.diff(at))])
         sign = np.where(run & U(1 << 20), 1.0, -1.0)
         narrow = np.bincount(row * NARROW + (run % U(NARROW)).astype(np.int64), sign, n * NARROW).reshape(n, NARROW)
-        return cls(wide, narrow.astype(np.int64).astype(np.uint16))
+        return cls(wide, narrow.astype(np.int64).astype(np.uint32))
 
     def __add__(self, other: Fingerprints) -> Fingerprints:
         return Fingerprints(self.wide + other.wide, self.narrow + other.narrow)
@@ -66,7 +66,7 @@ class Fingerprints:
     def likeness(self, other: Fingerprints) -> np.ndarray:
         """0 to 1: the share of the two multisets that is in both, as their sketches' second moments give it. A shingle
         adds 1 or -1 to one lane, so the squared length of a difference estimates how many shingles differ."""
-        power = lambda x: (x.narrow.view(np.int16).astype(np.float64) ** 2).sum(1)
+        power = lambda x: (x.narrow.view(np.int32).astype(np.float64) ** 2).sum(1)
         both = power(self) + power(other)
         apart = power(self - other)
         equal = (self.wide == other.wide).all(1)
@@ -74,7 +74,7 @@ class Fingerprints:
         return np.where(equal, 1.0, np.where(both > 0, np.minimum(near, 1 - 1e-9), 0.0))
 
     def texts(self) -> list[str]:
-        raw = np.concatenate([self.wide.astype("<u8").view(np.uint8), self.narrow.astype("<u2").view(np.uint8)], axis=1)
+        raw = np.concatenate([self.wide.astype("<u8").view(np.uint8), self.narrow.astype("<u4").view(np.uint8)], axis=1)
         return [base64.b64encode(r.tobytes()).decode() for r in raw]
 
 

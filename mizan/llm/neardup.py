@@ -7,19 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mizan.llm.common import Scratch, read
 from mizan.llm.components import components
 from mizan.llm.words import U, mix, pieces, shingle_sets, words
 
-#: Most rounds in which a bucket's members are first compared with one more member, while comparing all that is apart
-#: would be much work.
-LEADERS = 3
-
-
 def banding(threshold: float, coordinates: int = 192, miss: float = 1e-6) -> tuple[int, int]:
     """(bands, rows): the most rows a band with which a pair at the threshold is missed with a chance of at most miss."""
     for rows in range(12, 1, -1):
@@ -82,6 +76,16 @@ def most_differing(threshold: float, coordinates: int, miss: float = 1e-6) -> in
     return coordinates
 
 
+def content_key(value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, in two halves; 0 for a set without members."""
+    full = np.diff(at) > 0
+    out = np.zeros((2, len(at) - 1), np.int64)
+    for half, salt in zip(out, (U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)), strict=True):
+        if full.any():
+            half[full] = np.add.reduceat(mix(value ^ salt), at[:-1][full]).view(np.int64)
+    return out[0], out[1]
+
+
 def sketch(docs: DataFrame, shingle: int, bands: int, rows: int, coordinates: int) -> DataFrame:
     """(doc_id, n, h1, h2, bands, bits): size, 128-bit content key, band keys and bits of each text's shingle set."""
 
@@ -92,11 +96,9 @@ def sketch(docs: DataFrame, shingle: int, bands: int, rows: int, coordinates: in
                 n = np.diff(at)
                 full = n > 0
                 begin = at[:-1][full]
-                h1, h2 = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+                h1, h2 = content_key(value, at)
                 keys, bits = np.zeros((0, bands), np.uint64), np.zeros((0, coordinates // 64), np.int64)
                 if full.any():
-                    h1[full] = np.add.reduceat(mix(value ^ U(0x5851F42D4C957F2D)), begin).view(np.int64)
-                    h2[full] = np.add.reduceat(mix(value ^ U(0x14057B7EF767814F)), begin).view(np.int64)
                     coordinate = signatures(value, np.append(begin, at[-1]), coordinates)
                     keys, bits = band_keys(coordinate[:, : bands * rows], bands, rows), signature_bits(coordinate)
                 lists = []
@@ -109,16 +111,16 @@ def sketch(docs: DataFrame, shingle: int, bands: int, rows: int, coordinates: in
 
 
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(rep, items): the whole shingle set of each text."""
+    """(rep, h1, items): the whole shingle set of each text, and half of its content key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 value, at = shingle_sets(words(part.column("text")), shingle)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(value.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["rep", "items"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(content_key(value, at)[0]), lists], ["rep", "h1", "items"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "rep long, items array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "rep long, h1 long, items array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -131,75 +133,123 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     ).select("a", "b")
 
 
+def by_name(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+    """The columns with a suffix, for one side of a pair."""
+    return rows.select(*[F.col(c).alias(f"{c}_{name}") for c in columns])
+
+
+class Search:
+    """Which pairs can be links at all; the checks are exact, but for signature bits (a chance of one in a million)."""
+
+    def __init__(self, threshold: int, coordinates: int):
+        self.threshold, self.numbers, self.differ = threshold, coordinates // 64, most_differing(threshold / 100, coordinates)
+
+    def plausible(self, x: str, y: str) -> Column:
+        """Sizes and signature bits of both sides are near enough."""
+        n, m = F.col(f"n_{x}"), F.col(f"n_{y}")
+        apart = sum(F.bit_count(F.col(f"bits_{x}")[i].bitwiseXOR(F.col(f"bits_{y}")[i])) for i in range(self.numbers))
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * self.threshold) & (apart <= self.differ)
+
+    def possible(self, x: str, y: str) -> Column:
+        """No more can be shared than either side has in common with any other text of the search."""
+        most = F.least(F.col(f"most_{x}"), F.col(f"most_{y}"))
+        return most * 100 >= (F.col(f"n_{x}") + F.col(f"n_{y}") - most) * self.threshold
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, threshold: int = 80, coordinates: int = 384) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
 
     Texts are sets of distinct runs of `shingle` words; two are linked if 100 * intersection >= threshold * union, which
     is always confirmed on the whole sets. component_id: the smallest doc_id that links lead to; kept: it is the row's own.
 
-    Equal sets are one class from the start, so copies make no pairs. Classes that share a band's key are candidates. A
-    class is first compared with the bucket's leader, and only classes that are not yet in one component are compared
-    further: with one more member in each round while much is apart, then whatever is still apart, pair by pair. Members
-    of one component need no comparison, so a group of copies costs work in proportion to its size, and none is capped.
+    Equal sets are one class from the start, so copies make no pairs. Classes that share a band's key are candidates:
+
+    1. Each bucket's members are compared with its hub, the member that shares most buckets with others.
+    2. Where a bucket still holds more than one component, members with a plausible partner in another component stay.
+       Of these, the shingles that no other has bound what a member can share with any: most leave here, exactly.
+    3. Rounds: in every bucket of several components some members (1, 2, 4, ... by round) are compared with all others of
+       another component and then leave the bucket. Rounds end when no bucket holds two components.
+
+    Members of one component need no comparison, so a group of copies costs work in proportion to its size, and none is
+    capped; every pair that could be a link is compared, or lies in one component already.
 
     Null and empty texts, and texts of white space: no shingles, a component of their own. Texts shorter than a shingle:
     their whole sequence is the one shingle. A null doc_id: component null, kept. Repeated doc_ids: each row is judged;
     rows with one id are one node of the graph. An empty table: no rows. Further columns are not looked at.
     """
     bands, rows = banding(threshold / 100, coordinates // 2)
-    differ = most_differing(threshold / 100, coordinates)
+    search = Search(threshold, coordinates)
     tmp = Scratch(spark, "neardup")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = tmp.keep(sketch(base, shingle, bands, rows, coordinates), "sketch")
     some = seen.filter("n > 0 and doc_id is not null")
     # one class for each different set; its representative is its smallest doc_id
-    reps = tmp.keep(some.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "bits"), "doc_id").alias("sig"), F.count("*").alias("copies")), "reps")
-    member = some.select("doc_id", "n", "h1", "h2").join(reps.filter("copies > 1").select("n", "h1", "h2", "rep"), ["n", "h1", "h2"])
-    same = member.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
-    rows_of = reps.select("rep", "n", F.posexplode("sig.bands").alias("band", "key"))
-    first = F.struct(F.xxhash64("rep").alias("p"), "rep")
-    shared = rows_of.groupBy("band", "key").agg(F.count("*").alias("size"), F.min(first)["rep"].alias("leader")).filter("size > 1")
-    bucket = tmp.keep(rows_of.join(shared, ["band", "key"]).select("band", "key", "size", "leader", "rep", "n"), "buckets")
-    wanted = bucket.select(F.col("rep").alias("doc_id")).distinct()
-    sets = tmp.keep(full_sets(base.join(wanted, "doc_id", "left_semi"), shingle).dropDuplicates(["rep"]), "sets")
-
-    near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * threshold  # noqa: E731  else the sizes differ by too much
-    size_of = reps.select(F.col("rep").alias("leader"), F.col("n").alias("nl"))
-    star = bucket.filter("rep <> leader").select("rep", "n", "leader").distinct().join(size_of, "leader").filter(near(F.col("n"), F.col("nl")))
-    links = tmp.keep(verified(star.select(F.col("rep").alias("a"), F.col("leader").alias("b")), sets, threshold), "links-0")
-    at_once = max(100_000, 2 * reps.count())
-    for turn in range(1, LEADERS + 2):
-        comp = tmp.keep(components(links, tmp, f"comp-{turn}"), f"roots-{turn}")
-        placed = bucket.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        part = placed.groupBy("band", "key", "root").count().groupBy("band", "key")
-        most = part.agg(F.sum("count").alias("size"), F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1")
-        apart, found = tmp.observed(most.select("band", "key", F.col("top.root").alias("top"), (F.col("size") * (F.col("size") - F.col("top.count"))).alias("work")), f"apart-{turn}", F.sum("work").alias("work"))
-        if not found["work"]:
-            break
-        open_ = tmp.keep(placed.join(apart, ["band", "key"]).select("band", "key", "top", "rep", "n", "root").join(reps.select("rep", "sig"), "rep"), f"open-{turn}")
-        last = found["work"] <= at_once or turn > LEADERS
-        if last:  # what is in no bucket's largest component, with all of the bucket
-            partner = open_.filter("root <> top")
-        else:
-            pick = F.struct(F.xxhash64("rep", "band", F.lit(turn)).alias("p"), "rep")
-            chief = open_.groupBy("band", "key").agg(F.min(pick)["rep"].alias("rep"))
-            partner = open_.join(chief, ["band", "key", "rep"], "left_semi")
-        meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
-        apart_bits = sum(F.bit_count(F.col("x.sig.bits")[i].bitwiseXOR(F.col("y.sig.bits")[i])) for i in range(coordinates // 64))
-        # a pair that shares several buckets comes from the first of them
-        first_met = F.expr(f"not exists(sequence(0, {bands}), i -> i < x.band and get(x.sig.bands, i) = get(y.sig.bands, i))")
-        meet = meet & near(F.col("x.n"), F.col("y.n")) & (apart_bits <= differ) & first_met
-        pairs = open_.alias("x").join(partner.alias("y"), meet)
-        pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-        links = links.union(tmp.keep(verified(pairs, sets, threshold), f"links-{turn}"))
-        tmp.drop(f"roots-{turn}", f"apart-{turn}", f"open-{turn}")
-        if last:
+    classes = tmp.keep(some.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first(F.struct("bands", "bits")).alias("sig")), "classes")
+    member = tmp.keep(some.select("doc_id", "n", "h1", "h2").join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).select("doc_id", "n", "rep"), "members")
+    # a doc_id of several classes links them
+    least = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z")
+    same = tmp.keep(member.join(least, "doc_id").filter("rep > a").select("a", F.col("rep").alias("b")).distinct(), "same")
+
+    offers = classes.select("rep", "n", F.posexplode("sig.bands").alias("band", "key"))
+    shared = offers.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
+    bucket = tmp.keep(offers.join(shared, ["band", "key"]).select("band", "key", "size", "rep", "n"), "buckets")
+    weighted = bucket.join(bucket.groupBy("rep").agg(F.sum("size").alias("weight")), "rep")
+    hubs = weighted.groupBy("band", "key").agg(F.max(F.struct("weight", F.xxhash64("rep").alias("p"), "rep"))["rep"].alias("hub"))
+    star = bucket.join(hubs, ["band", "key"]).filter("rep <> hub").select(F.least("rep", "hub").alias("rep_a"), F.greatest("rep", "hub").alias("rep_b")).distinct()
+    bits = classes.select("rep", "n", F.col("sig.bits").alias("bits"))
+    met = star.join(by_name(bits, "a", "rep", "n", "bits"), "rep_a").join(by_name(bits, "b", "rep", "n", "bits"), "rep_b")
+    tested = tmp.keep(met.filter(search.plausible("a", "b")).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), "tested-0")
+
+    def sets_of(reps: DataFrame, name: str) -> DataFrame:
+        """Whole sets of these, one row for each different set of a rep."""
+        wanted = base.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        return tmp.keep(full_sets(wanted, shingle).dropDuplicates(["rep", "h1"]), name)
+
+    every = tested.select(F.col("a").alias("rep")).union(tested.select("b"))
+    links = tmp.keep(verified(tested, sets_of(every, "sets-0"), threshold), "links-0")
+    tmp.drop("sets-0")
+    found = same.union(links)
+    comp = tmp.keep(components(found, tmp, "comp-0"), "roots-0")
+
+    def in_parts(rows: DataFrame, comp: DataFrame) -> DataFrame:
+        """Rows with their root, of buckets that hold more than one."""
+        placed = rows.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        open_ = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band", "key")
+        return placed.join(open_, ["band", "key"])
+
+    live = tmp.keep(in_parts(bucket.select("band", "key", "rep"), comp).join(bits, "rep").select("band", "key", "rep", "n", "bits", "root"), "live-0")
+    one, other = (by_name(live, x, "band", "key", "rep", "n", "bits", "root") for x in "xy")
+    meet = (F.col("band_x") == F.col("band_y")) & (F.col("key_x") == F.col("key_y")) & (F.col("root_x") != F.col("root_y")) & search.plausible("x", "y")
+    pool = tmp.keep(one.join(other, meet, "left_semi").select(*[F.col(f"{c}_x").alias(c) for c in ("band", "key", "rep", "n", "bits")]), "pool")
+    sets = sets_of(pool, "sets")
+    item = sets.select("rep", F.explode("items").alias("item"))
+    often = item.groupBy("item").agg(F.count("*").alias("c")).filter("c > 1").select("item")
+    most = item.join(often, "item").groupBy("rep").agg(F.count("*").alias("most"))
+    live = tmp.keep(pool.join(most, "rep").filter(F.col("most") * 100 >= F.col("n") * threshold), "able-0")
+    tmp.drop("live-0", "buckets", "pool")
+    tests, turn = ["tested-0"], 0
+    while True:
+        turn += 1
+        open_, left = tmp.observed(in_parts(live, comp), f"open-{turn}", F.count("*").alias("n"))
+        if not left["n"]:
             break
-    comp = tmp.keep(components(links.union(same), tmp, "comp"), "roots")
-    tmp.drop("sets", "buckets")
-    out = seen.select("doc_id", F.col("n").alias("n_shingles")).join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    out = out.withColumn("component_id", F.coalesce("root", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("kept"))
+        slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << min(turn - 1, 30)))
+        central = F.struct((F.col("most") - F.col("n")).alias("c"), F.xxhash64("rep").alias("p"), "rep")
+        chiefs = open_.groupBy("band", "key", slot.alias("slot")).agg(F.max(F.struct(central.alias("o"), "rep", "n", "bits", "most", "root")).alias("x")).select("band", "key", "x.rep", "x.n", "x.bits", "x.most", "x.root")
+        chiefs = tmp.keep(chiefs, f"chiefs-{turn}")
+        columns = ("band", "key", "rep", "n", "bits", "most", "root")
+        pairs = by_name(open_, "x", *columns).join(by_name(chiefs, "y", *columns), meet & search.possible("x", "y")).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
+        before = spark.read.schema("a long, b long").parquet(*[tmp.path(t) for t in tests])
+        new = tmp.keep(pairs.join(before, ["a", "b"], "left_anti"), f"tested-{turn}")
+        tests.append(f"tested-{turn}")
+        found = found.union(tmp.keep(verified(new, sets, threshold), f"links-{turn}"))
+        live = open_.join(chiefs.select("band", "key", "rep"), ["band", "key", "rep"], "left_anti").drop("root")
+        comp = tmp.keep(components(found, tmp, f"comp-{turn}"), f"roots-{turn}")
+    tmp.drop("sets", *tests)
+    roots = member.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("root", "rep").alias("root"))
+    alone = seen.filter("not (n > 0 and doc_id is not null)").select("doc_id", "n", F.col("doc_id").alias("root"))
+    out = roots.unionByName(alone)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.col("root").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

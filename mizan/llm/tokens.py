@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -13,25 +12,24 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import pyarrow.fs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mizan.llm.common import Scratch, read
-from mizan.llm.words import LOWER, buffers, pieces, scan
+from mizan.llm.words import IS_SPACE, boundaries, buffers, pieces
 
 #: Ids of a sequence, and sequences of a record batch.
 LENGTH, BATCH = 2048, 64
+#: Bytes of text whose different words are encoded together.
+PIECE = 8 << 20
 
-#: The tokenizer file's normalizer and splitting pattern for which a text's ids are those of its words.
+#: The tokenizer file's normalizer and splitting pattern with which a text's ids are those of its words.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
-
-#: Bytes of words whose normal form Python's and the library's Unicode tables give alike (printable ASCII, Latin letters).
-USUAL = np.zeros(256, bool)
-USUAL[0x21:0x7F] = USUAL[0x80:0xC0] = USUAL[0xC3:0xCA] = True
+#: A word of its own between words that are encoded together.
+MARK = "\x01"
 
 
 def ragged(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,91 +42,72 @@ def ragged(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     """Ids of whole texts by a tokenizer file.
 
-    White space ends a word for the usual word-BPE file, and no merge crosses it, so a column's different words are
-    encoded once each and texts are put together from them; test_tokens holds this against encoding whole texts. Texts
-    with special tokens, and files of another kind, are encoded whole.
+    White space parts words for the usual word-BPE file, and neither normalizing, splitting nor merging looks across it.
+    So the library encodes each different word of a column (compared byte by byte) once, just as it stands, and texts are
+    put together from their words' ids; tests hold this against encoding whole texts. Files of another kind, and words
+    that hold the mark, are encoded as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.size = max(self.whole.get_vocab(with_added_tokens=True).values()) + 1
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.size = max(vocabulary.values()) + 1
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         usual = spec["normalizer"] == NORMALIZER and len(steps) == 2 and steps[0].get("pattern") == {"Regex": PATTERN}
         usual = usual and steps[1]["type"] == "ByteLevel" and not steps[1]["use_regex"] and spec["model"].get("end_of_word_suffix") == WORD_END
-        self.merges = None
-        if usual:
-            own = spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
-            self.merges = Tokenizer.from_str(json.dumps(own))
-            self.ends = np.zeros(self.size, bool)
-            self.ends[[i for s, i in self.merges.get_vocab().items() if s.endswith(WORD_END)]] = True
-            shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-            hidden = [b for b in range(256) if b not in set(shown)]
-            # byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on; a space parts words
-            self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden) if b != 0x20}
-            self.split = regex.compile(PATTERN + r"|\n")
+        mark = self.library.encode(MARK, add_special_tokens=False).ids
+        self.by_words = usual and len(mark) == 1 and not any(set(t["content"]) & set(" \t\n\v\f\r") for t in spec["added_tokens"])
+        self.mark = mark[0]
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for s, i in vocabulary.items() if s.endswith(WORD_END)]] = True
 
     def _texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [x.ids for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-        return np.fromiter((i for x in ids for i in x), np.uint32, at[-1]), at
-
-    def _words(self, joined: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of usual words that each end with a line feed."""
-        found = self.split.findall(unicodedata.normalize("NFC", joined.decode()).lower())
-        order = {p: i for i, p in enumerate(dict.fromkeys(p for p in found if p != "\n"))}
-        ids, at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        if order:
-            shown = " ".join(order).encode().decode("latin1").translate(self.shown).split(" ")
-            lots = [" ".join(shown[i : i + 4096]) for i in range(0, len(shown), 4096)]
-            ids = np.concatenate([np.array(x.ids, np.uint32) for x in self.merges.encode_batch_fast(lots, add_special_tokens=False)])
-            at = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
-        row = np.fromiter((order.get(p, -1) for p in found), np.int64, len(found))
-        stops = np.flatnonzero(row < 0)
-        flat, to = ragged(at, row[row >= 0])
-        pieces_at = np.concatenate([[0], stops - np.arange(len(stops))])  # pieces before each word's end
-        return ids[flat], to[pieces_at]
+        return np.concatenate(ids or [np.zeros(0, np.uint32)]), at
+
+    def _lots(self, words: list[str], between: str) -> np.ndarray:
+        """Ids of words in lots, each word followed by what stands between."""
+        return self._texts([between.join(words[i : i + 1024]) + between for i in range(0, len(words), 1024)])[0]
+
+    def _words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word: of letters alone (one piece, so one id that ends a word), with the mark, and all others."""
+        flag = lambda x: x.to_numpy(zero_copy_only=False).astype(bool)
+        plain = flag(pa.compute.match_substring_regex(words, "^[A-Za-z]+$"))
+        odd = flag(pa.compute.match_substring(words, MARK))
+        of = lambda some: words.filter(pa.array(some)).to_pylist()
+        letters = self._lots(of(plain), " ")
+        letters_at = np.concatenate([[0], np.flatnonzero(self.ends[letters]) + 1])
+        others = self._lots(of(~plain & ~odd), f" {MARK} ")
+        marks = np.flatnonzero(others == self.mark)
+        others, others_at = np.delete(others, marks), np.concatenate([[0], marks - np.arange(len(marks))])
+        whole, whole_at = self._texts(of(odd))
+        assert len(letters_at) == plain.sum() + 1 and len(others_at) == (~plain & ~odd).sum() + 1, "a word's ids were not told apart"
+        ids = np.concatenate([letters, others, whole])
+        at = np.concatenate([letters_at, others_at[1:] + len(letters), whole_at[1:] + len(letters) + len(others)])
+        place = np.argsort(np.where(plain, 0, np.where(odd, 2, 1)), kind="stable")
+        row = np.empty(len(words), np.int64)
+        row[place] = np.arange(len(words))
+        flat, to = ragged(at, row)
+        return ids[flat], to
 
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each text and its end id, one text after another, and where each text's begin (and the end)."""
         raw, text_at = buffers(column)
         n = len(text_at) - 1
-        if self.merges is None:
+        if not self.by_words:
             ids, at = self._texts(["" if t is None else t for t in column.to_pylist()])
             return self._closed(ids, at, np.arange(n), np.arange(n + 1), end)
-        odd = np.zeros(n, bool)
-        for s in self.special:
-            odd |= pa.compute.fill_null(pa.compute.match_substring(column, s), False).to_numpy(zero_copy_only=False)
-        w = scan(LOWER[raw], text_at)
-        _, first, row = np.unique(w.hashes, return_index=True, return_inverse=True)
-        strange = np.concatenate([[0], np.cumsum(~USUAL[w.data])])
-        begin, stop = w.starts[first], w.ends[first]
-        usual = strange[stop] == strange[begin]
-        flat, to = ragged(np.stack([begin[usual], stop[usual] + 1], 1).ravel(), np.arange(usual.sum()) * 2)
-        text = np.append(w.data, np.uint8(10))[flat]
-        text[to[1:] - 1] = 10
-        ids, at = self._words(text.tobytes())
-        others = [w.data[a:b].tobytes().decode() for a, b in zip(begin[~usual], stop[~usual], strict=True)]
-        whole = [t or "" for t in pa.array(column).filter(pa.array(odd)).to_pylist()]
-        more, more_at = self._texts(others + whole)
-        ids, at = np.concatenate([ids, more]), np.concatenate([at, more_at[1:] + at[-1]])
-        place = np.empty(len(first), np.int64)  # where each different word's ids are
-        place[usual] = np.arange(usual.sum())
-        place[~usual] = usual.sum() + np.arange(len(others))
-        rows, count = place[row], np.diff(w.first)
-        if odd.any():  # such a text is one item, not its words
-            keep = ~np.repeat(odd, count)
-            count = np.where(odd, 1, count)
-            merged = np.empty(count.sum(), np.int64)
-            owner = np.repeat(odd, count)
-            merged[~owner] = rows[keep]
-            merged[owner] = len(first) + np.arange(odd.sum())
-            rows = merged
-        return self._closed(ids, at, rows, np.concatenate([[0], np.cumsum(count)]), end)
+        starts, ends = boundaries(raw, text_at)
+        at = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+        solid = np.ascontiguousarray(raw[~IS_SPACE[raw]])
+        every = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(solid)]).dictionary_encode()
+        ids, at = self._words(every.dictionary)
+        return self._closed(ids, at, every.indices.to_numpy().astype(np.int64), np.searchsorted(starts, text_at), end)
 
     @staticmethod
     def _closed(ids: np.ndarray, at: np.ndarray, rows: np.ndarray, row_at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +159,7 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, root: str, *, en
             sequences.write_batch(pa.RecordBatch.from_arrays([lists.cast(_schema(kind, length).field("ids").type), mask.cast(_schema(kind, length).field("mask").type)], schema=_schema(kind, length)))
 
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 if sequences is None:
                     sequences = pa.ipc.new_file(f1 := fs.open_output_stream(f"{mine}-ids"), _schema(kind, length))
                     rows = pa.ipc.new_file(f2 := fs.open_output_stream(f"{mine}-docs"), pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())]))

@@ -39,17 +39,30 @@ for _sign, _letter in zip("013457@$!|", "oieastasil", strict=True):
     LEET[ord(_sign)] = ord(_letter)
 
 
-def plain_words(column: pa.Array) -> tuple[Words, dict[str, np.ndarray]]:
-    """Words without punctuation, signs inside a word read as the letters they stand for, and counts of bytes by text."""
+def plain_bytes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inner, read_as, keep): signs and digits between letters, bytes with these read as the letters they stand for, and
+    which bytes are left once punctuation is gone."""
+    letter = LETTER[raw]
+    inner = ~letter & ~IS_SPACE[raw]
+    inner[:1] = inner[-1:] = False
+    inner[1:-1] &= letter[:-2] & letter[2:]
+    read_as = np.where(inner, LEET[raw], raw)
+    return inner, read_as, ~MARK[raw] | (inner & LETTER[read_as])
+
+
+def plain_words(column: pa.Array) -> Words:
+    """Words without punctuation, signs inside a word read as the letters they stand for."""
+    raw, at = buffers(column)
+    _, read_as, keep = plain_bytes(raw)
+    return scan(LOWER[read_as[keep]], np.concatenate([[0], np.cumsum(keep)])[at], STEMS)
+
+
+def counted_words(column: pa.Array) -> tuple[Words, dict[str, np.ndarray]]:
+    """plain_words, and counts of bytes by text."""
     raw, at = buffers(column)
     n = len(raw)
-    letter, space = LETTER[raw], IS_SPACE[raw]
-    before, after = np.zeros(n, bool), np.zeros(n, bool)
-    before[1:], after[:-1] = letter[:-1], letter[1:]
-    mark, digit = MARK[raw], DIGIT[raw]
-    inner = (mark | digit) & before & after
-    read_as = np.where(inner, LEET[raw], raw)
-    keep = ~mark | (inner & LETTER[read_as])
+    inner, read_as, keep = plain_bytes(raw)
+    letter, mark, digit = LETTER[raw], MARK[raw], DIGIT[raw]
     upper = (raw >= 65) & (raw <= 90)
     same = np.zeros(n, bool)
     same[1:] = raw[1:] == raw[:-1]
@@ -92,7 +105,7 @@ class Lexicon:
 
 def dense(column: pa.Array, lexicon: Lexicon, window: int = 40, reach: int = 3) -> np.ndarray:
     """One row of FEATURES for each text; zeros where there are no words."""
-    w, c = plain_words(column)
+    w, c = counted_words(column)
     texts, n = len(w.first) - 1, np.diff(w.first)
     text = w.text_of
     exact = lexicon.of(w.hashes)
@@ -138,15 +151,13 @@ def term_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                w, _ = plain_words(part.column("text"))
-                text = w.text_of
-                every = np.concatenate([w.hashes, *[w.prefixes[k] for k in STEMS]])
-                owner = np.concatenate([text] * (1 + len(STEMS)))
-                some = every != 0
-                every, owner = every[some], owner[some]
-                _, i = np.unique(mix(every ^ mix(owner.astype(np.uint64) + U(1))), return_index=True)
-                term, n = np.unique(every[i], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
+                w = plain_words(part.column("text"))
+                salt = mix(w.text_of.astype(np.uint64) + U(1))
+                for hashes in (w.hashes, *[w.prefixes[k] for k in STEMS]):
+                    some = np.flatnonzero(hashes)
+                    _, i = np.unique(mix(hashes[some] ^ salt[some]), return_index=True)  # once for each text
+                    term, n = np.unique(hashes[some[i]], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
 
     return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 

@@ -1,11 +1,12 @@
 """Words and word shingles of whole Arrow string columns, as numpy arrays of 64-bit hashes.
 
 A word is a longest run of bytes other than space and \\t \\n \\v \\f \\r, with A-Z lower-cased. All of it is array
-arithmetic over the column's bytes: a hash of a word is a difference of prefix sums, so no Python loop runs per word.
+arithmetic over the column's bytes: words are hashed block by block, all at once, so no Python loop runs per usual word.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,9 +20,9 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 U = np.uint64
-BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-INVERSE = pow(BASE, -1, 1 << 64)
-WINDOW = 1 << 20  # bytes that are hashed at once
+BASE = 0x9E3779B97F4A7C15
+#: Bytes of a word that are mixed in eight at a time; a longer word is hashed by BLAKE2b.
+SHORT = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,15 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * U(BASE))
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        full = np.full(max(n, WINDOW + 1), BASE if kind == "up" else INVERSE, dtype=np.uint64)
-        full[0] = 1
-        _powers[kind] = np.cumprod(full)
-    return _powers[kind][:n]
 
 
 @dataclass
@@ -78,7 +70,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about limit bytes of text; a longer text is a slice of its own."""
     _, at = buffers(batch.column(batch.schema.get_field_index(column)))
     i, n = 0, batch.num_rows
@@ -89,51 +81,45 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
 
 
 def words(column: pa.Array, prefixes: tuple[int, ...] = ()) -> Words:
-    """Words of a string column; prefixes: also hash the first so many bytes of each word (0 where a word is shorter)."""
+    """Words of a string column; prefixes: also hash the first so many bytes, eight at most, of each word (0 where a word is
+    shorter)."""
     raw, at = buffers(column)
     return scan(LOWER[raw], at, prefixes)
 
 
+def boundaries(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of texts begin and end in data, texts beginning at at (and ending at its last)."""
+    solid = ~IS_SPACE[data]
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[at] = True
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1] | edge[1:-1]
+    last[:-1] &= ~solid[1:] | edge[1:-1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
 def scan(data: np.ndarray, at: np.ndarray, prefixes: tuple[int, ...] = ()) -> Words:
-    """Words of texts that begin at at (and end at its last) in the bytes data."""
-    n = len(data)
-    starts, ends, hashes, heads = [], [], [], {k: [] for k in prefixes}
-    begins = np.zeros(n + 1, dtype=bool)
-    begins[at] = True
-    lo = 0
-    while lo < n:
-        hi = min(n, lo + WINDOW)
-        if hi < n:  # cut where no word goes on
-            gaps = np.flatnonzero(IS_SPACE[data[lo:hi]])
-            if len(gaps):
-                hi = lo + int(gaps[-1]) + 1
-            else:
-                while hi < n and not IS_SPACE[data[hi]]:
-                    step = IS_SPACE[data[hi : hi + WINDOW]]
-                    hi += int(step.argmax()) if step.any() else len(step)
-        part = data[lo:hi]
-        m = hi - lo
-        solid = ~IS_SPACE[part]
-        first = begins[lo:hi].copy()
-        first[0] = True
-        first[1:] |= ~solid[:-1]
-        last = begins[lo + 1 : hi + 1].copy()
-        last[-1] = True
-        last[:-1] |= ~solid[1:]
-        s, e = np.flatnonzero(solid & first), np.flatnonzero(solid & last) + 1
-        total = np.zeros(m + 1, np.uint64)
-        np.cumsum(BYTE_VALUE[part] * _power("up", m), out=total[1:])
-        back = _power("down", m)[s]
-        hashes.append(mix((total[e] - total[s]) * back))
-        for k in prefixes:
-            long = e - s >= k
-            heads[k].append(np.where(long, mix((total[np.minimum(s + k, m)] - total[s]) * back ^ U(k)), U(0)))
-        starts.append(s + lo)
-        ends.append(e + lo)
-        lo = hi
-    join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    starts, ends = join(starts, np.int64), join(ends, np.int64)
-    return Words(data, at, starts, ends, join(hashes, np.uint64), np.searchsorted(starts, at), {k: join(v, np.uint64) for k, v in heads.items()})
+    """Words of texts that begin at at (and end at its last) in the bytes data.
+
+    A word's eight-byte blocks go one after another through mix(), so no sum or polynomial of its bytes is left that two
+    words could share; words over SHORT bytes take 64 bits of BLAKE2b. Prefixes have eight bytes at most."""
+    starts, ends = boundaries(data, at)
+    padded = np.concatenate([data, np.zeros(SHORT, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    length = ends - starts
+
+    def block(place: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The first `left` of eight bytes."""
+        return eight[place] & (U(0xFFFFFFFFFFFFFFFF) >> (U(64) - U(8) * np.clip(left, 1, 8).astype(np.uint64)))
+
+    hashes = mix(length.astype(np.uint64) * U(BASE))
+    for j in range(0, SHORT, 8):
+        some = np.flatnonzero(length > j) if j else slice(None)
+        hashes[some] = mix((hashes[some] ^ block(starts[some] + j, length[some] - j)) * U(BASE))
+    for i in np.flatnonzero(length > SHORT):
+        hashes[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    heads = {k: np.where(length >= k, mix(block(starts, np.full(len(starts), k)) ^ mix(np.full(len(starts), k, np.uint64))), U(0)) for k in prefixes}
+    return Words(data, at, starts, ends, hashes, np.searchsorted(starts, at), heads)
 
 
 def window_hashes(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
