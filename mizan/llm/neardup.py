@@ -123,6 +123,18 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "rep long, h1 long, items array<long>")
 
 
+def holding(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id is among ids(doc_id).
+
+    A table of 2**24 bits, in 262,144 rows at most, goes to every task first and lets only hashes of ids through, so a
+    small share of the texts is shuffled for the join that decides."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24))
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    table = ids.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    likely = docs.withColumns({"__word": word, "__bit": bit}).join(F.broadcast(table), "__word").filter("__bits & __bit <> 0")
+    return likely.select(*docs.columns).join(ids, "doc_id", "left_semi")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Those of pairs(a, b) whose whole sets have 100 * intersection >= threshold * union."""
     left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("sa")), "a")
@@ -150,11 +162,6 @@ class Search:
         apart = sum(F.bit_count(F.col(f"bits_{x}")[i].bitwiseXOR(F.col(f"bits_{y}")[i])) for i in range(self.numbers))
         return (F.least(n, m) * 100 >= F.greatest(n, m) * self.threshold) & (apart <= self.differ)
 
-    def possible(self, x: str, y: str) -> Column:
-        """No more can be shared than either side has in common with any other text of the search."""
-        most = F.least(F.col(f"most_{x}"), F.col(f"most_{y}"))
-        return most * 100 >= (F.col(f"n_{x}") + F.col(f"n_{y}") - most) * self.threshold
-
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, threshold: int = 80, coordinates: int = 384) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
@@ -164,14 +171,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, t
 
     Equal sets are one class from the start, so copies make no pairs. Classes that share a band's key are candidates:
 
-    1. Each bucket's members are compared with its hub, the member that shares most buckets with others.
-    2. Where a bucket still holds more than one component, members with a plausible partner in another component stay.
-       Of these, the shingles that no other has bound what a member can share with any: most leave here, exactly.
-    3. Rounds: in every bucket of several components some members (1, 2, 4, ... by round) are compared with all others of
-       another component and then leave the bucket. Rounds end when no bucket holds two components.
+    1. Each bucket's members are compared with its hub, the member that shares most buckets with others. Members of one
+       component need no further comparison, so a group of copies costs work in proportion to its size.
+    2. Where a bucket still holds more than one component, members with a plausible partner in another one stay. They
+       meet by their rarest shingles: two sets at the threshold share one among the first of each, shingles ordered by
+       how many sets hold them, and where the first they share stands bounds what they can share at all (Xiao and
+       others, 2008). So a member that is far from all others meets few, however many share its frequent shingles.
 
-    Members of one component need no comparison, so a group of copies costs work in proportion to its size, and none is
-    capped; every pair that could be a link is compared, or lies in one component already.
+    No candidate is capped or dropped: every pair that could be a link is compared, or lies in one component already.
 
     Null and empty texts, and texts of white space: no shingles, a component of their own. Texts shorter than a shingle:
     their whole sequence is the one shingle. A null doc_id: component null, kept. Repeated doc_ids: each row is judged;
@@ -202,7 +209,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, t
 
     def sets_of(reps: DataFrame, name: str) -> DataFrame:
         """Whole sets of these, one row for each different set of a rep."""
-        wanted = base.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        wanted = holding(base, reps.select(F.col("rep").alias("doc_id")).distinct())
         return tmp.keep(full_sets(wanted, shingle).dropDuplicates(["rep", "h1"]), name)
 
     every = tested.select(F.col("a").alias("rep")).union(tested.select("b"))
@@ -211,41 +218,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, t
     found = same.union(links)
     comp = tmp.keep(components(found, tmp, "comp-0"), "roots-0")
 
-    def in_parts(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    def in_parts(rows: DataFrame) -> DataFrame:
         """Rows with their root, of buckets that hold more than one."""
         placed = rows.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         open_ = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band", "key")
         return placed.join(open_, ["band", "key"])
 
-    live = tmp.keep(in_parts(bucket.select("band", "key", "rep"), comp).join(bits, "rep").select("band", "key", "rep", "n", "bits", "root"), "live-0")
+    live = tmp.keep(in_parts(bucket.select("band", "key", "rep")).join(bits, "rep").select("band", "key", "rep", "n", "bits", "root"), "live")
     one, other = (by_name(live, x, "band", "key", "rep", "n", "bits", "root") for x in "xy")
     meet = (F.col("band_x") == F.col("band_y")) & (F.col("key_x") == F.col("key_y")) & (F.col("root_x") != F.col("root_y")) & search.plausible("x", "y")
-    pool = tmp.keep(one.join(other, meet, "left_semi").select(*[F.col(f"{c}_x").alias(c) for c in ("band", "key", "rep", "n", "bits")]), "pool")
-    sets = sets_of(pool, "sets")
-    item = sets.select("rep", F.explode("items").alias("item"))
-    often = item.groupBy("item").agg(F.count("*").alias("c")).filter("c > 1").select("item")
-    most = item.join(often, "item").groupBy("rep").agg(F.count("*").alias("most"))
-    live = tmp.keep(pool.join(most, "rep").filter(F.col("most") * 100 >= F.col("n") * threshold), "able-0")
-    tmp.drop("live-0", "buckets", "pool")
-    tests, turn = ["tested-0"], 0
-    while True:
-        turn += 1
-        open_, left = tmp.observed(in_parts(live, comp), f"open-{turn}", F.count("*").alias("n"))
-        if not left["n"]:
-            break
-        slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << min(turn - 1, 30)))
-        central = F.struct((F.col("most") - F.col("n")).alias("c"), F.xxhash64("rep").alias("p"), "rep")
-        chiefs = open_.groupBy("band", "key", slot.alias("slot")).agg(F.max(F.struct(central.alias("o"), "rep", "n", "bits", "most", "root")).alias("x")).select("band", "key", "x.rep", "x.n", "x.bits", "x.most", "x.root")
-        chiefs = tmp.keep(chiefs, f"chiefs-{turn}")
-        columns = ("band", "key", "rep", "n", "bits", "most", "root")
-        pairs = by_name(open_, "x", *columns).join(by_name(chiefs, "y", *columns), meet & search.possible("x", "y")).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
-        before = spark.read.schema("a long, b long").parquet(*[tmp.path(t) for t in tests])
-        new = tmp.keep(pairs.join(before, ["a", "b"], "left_anti"), f"tested-{turn}")
-        tests.append(f"tested-{turn}")
-        found = found.union(tmp.keep(verified(new, sets, threshold), f"links-{turn}"))
-        live = open_.join(chiefs.select("band", "key", "rep"), ["band", "key", "rep"], "left_anti").drop("root")
-        comp = tmp.keep(components(found, tmp, f"comp-{turn}"), f"roots-{turn}")
-    tmp.drop("sets", *tests)
+    pool = tmp.keep(one.join(other, meet, "left_semi").select(*[F.col(f"{c}_x").alias(c) for c in ("rep", "n", "bits", "root")]).distinct(), "pool")
+    tmp.drop("live", "buckets")
+    sets = sets_of(pool, "sets-1")
+    each = sets.select("rep", "h1", F.explode("items").alias("item"))
+    often = each.groupBy("item").agg(F.count("*").alias("often"))
+    ranked = each.join(often, "item").groupBy("rep", "h1").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("items"))  # a text's own set
+    rarest = F.slice("items", 1, F.size("items") - F.ceil(F.size("items") * threshold / 100).cast("int") + 1)
+    begin = ranked.select("rep", F.size("items").cast("long").alias("n"), F.posexplode(rarest).alias("i", "x")).select("rep", "n", "i", "x.item")
+    begin = tmp.keep(begin.join(pool, ["rep", "n"]), "begins")
+    one, other = (by_name(begin, x, "item", "i", "rep", "n", "bits", "root") for x in "xy")
+    enough = F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y")) * (100 + threshold) >= (F.col("n_x") + F.col("n_y")) * threshold
+    meet = (F.col("item_x") == F.col("item_y")) & (F.col("root_x") < F.col("root_y")) & enough & search.plausible("x", "y")
+    pairs = tmp.keep(one.join(other, meet).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct(), "tested-1")
+    found = found.union(tmp.keep(verified(pairs, sets, threshold), "links-1"))
+    comp = tmp.keep(components(found, tmp, "comp-1"), "roots-1")
+    tmp.drop("sets-1", "tested-0", "tested-1", "begins")
     roots = member.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("root", "rep").alias("root"))
     alone = seen.filter("not (n > 0 and doc_id is not null)").select("doc_id", "n", F.col("doc_id").alias("root"))
     out = roots.unionByName(alone)
