@@ -26,18 +26,19 @@ def weight_of(column: str, weights: dict[str, int], other: int) -> Column:
 
 def pour(nodes: DataFrame, parent: list[str], key: str) -> DataFrame:
     """Shares of `budget` among the children of each parent: in proportion to `weight`, none above `cap`, what a full
-    child leaves going to its siblings by weight. Adds alloc (whole tokens).
+    child leaves going to its siblings by weight. Adds alloc (whole tokens). A child of weight 0 has cap 0.
 
     Sorted by cap / weight, children fill up in that order, so the level at which the rest share is found by prefix sums
     instead of rounds.
     """
     w = Window.partitionBy(*parent, "budget").orderBy("ratio", key)
     before, whole = w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*parent, "budget")
-    some = nodes.withColumn("ratio", F.col("cap").cast("double") / F.col("weight"))
+    some = nodes.withColumn("ratio", F.when(F.col("weight") > 0, F.col("cap").cast("double") / F.col("weight")).otherwise(0.0))
     some = some.withColumns({"cap0": F.coalesce(F.sum("cap").over(before), F.lit(0)), "weight0": F.coalesce(F.sum("weight").over(before), F.lit(0)), "weights": F.sum("weight").over(whole)})
     some = some.withColumn("full", F.col("cap0") + F.col("ratio") * (F.col("weights") - F.col("weight0")) <= F.col("budget"))
     some = some.withColumns({"cap1": F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(whole), "weight1": F.sum(F.when(F.col("full"), F.col("weight")).otherwise(0)).over(whole)})
-    share = F.floor((F.col("budget") - F.col("cap1")).cast("double") / (F.col("weights") - F.col("weight1")) * F.col("weight"))
+    open_ = F.nullif(F.col("weights") - F.col("weight1"), F.lit(0))  # null where all are full
+    share = F.floor((F.col("budget") - F.col("cap1")).cast("double") / open_ * F.col("weight"))
     some = some.withColumn("alloc", F.when(F.col("full"), F.col("cap")).otherwise(F.least(share, F.col("cap"))).cast("long"))
     return some.drop("ratio", "cap0", "weight0", "weights", "full", "cap1", "weight1")
 
@@ -49,7 +50,8 @@ def leaf_budgets(leaves: DataFrame, budget: Column, max_epochs: int, domains: di
     is made up by its sources' siblings, then, where their language is short as a whole, by other languages of the
     domain, then by other domains.
     """
-    leaves = leaves.withColumn("cap", F.col("supply") * max_epochs)
+    wanted = (weight_of("domain", domains, other) > 0) & (weight_of("lang", languages, other) > 0) & (weight_of("source", sources, 1) > 0)
+    leaves = leaves.withColumn("cap", F.when(wanted, F.col("supply") * max_epochs).otherwise(0))
     total = leaves.agg(F.sum("supply").alias("all"), F.sum("cap").alias("most")).select(F.least(budget.cast("long"), F.col("most")).alias("budget"))
     top = leaves.groupBy("domain").agg(F.sum("cap").alias("cap")).withColumn("weight", weight_of("domain", domains, other)).crossJoin(F.broadcast(total))
     top = pour(top, [], "domain").select("domain", F.col("alloc").alias("budget"))
@@ -68,25 +70,31 @@ def mix(docs: DataFrame, domain: Column, *, budget: Column | None = None, max_ep
     with a third of all rows is summed by many tasks.
 
     Null lang, source or domain: the value ''. Null and empty texts: 0 tokens; they go with what comes before them in
-    the order. Repeated or null doc_ids: one hash, so they stand together, ordered by text. An empty table: no rows.
-    Other columns are kept; columns with the names above are replaced.
+    the order. Repeated or null doc_ids: one hash, so they stand together, ordered by text. Rows alike in all of these
+    stand next to each other. A weight of 0 takes nothing. An empty table: no rows. Other
+    columns are kept, whatever their names; the five named above are replaced.
     """
     budget = F.floor(F.col("all") * 8 / 10) if budget is None else budget
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("epoch").cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.drop("domain", "n_tokens", "leaf_tokens", "leaf_target", "copies").withColumns({"domain": F.coalesce(domain.cast("string"), F.lit("")), "n_tokens": F.size(word_list(F.col("text"))).cast("long")})
-    named = rows.withColumns({"__lang": F.coalesce("lang", F.lit("")), "__source": F.coalesce("source", F.lit("")), "__text": F.xxhash64("text")})
-    leaf = ["domain", "__lang", "__source"]
-    leaves = named.groupBy(*leaf).agg(F.sum("n_tokens").alias("supply")).toDF("domain", "lang", "source", "supply")
-    plan = leaf_budgets(leaves, budget, max_epochs, domains, languages, sources or {}, other).toDF(*leaf, "supply", "target")
+    made = ("domain", "n_tokens", "leaf_tokens", "leaf_target", "copies")
+    # the table's own columns go by number, so none clashes with those made here
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select("*", domain.cast("string")).toDF(*own.values(), "domain").withColumns({"domain": F.coalesce("domain", F.lit("")), "n_tokens": F.size(word_list(F.col(own["text"]))).cast("long")})
+    named = rows.withColumns({"lang": F.coalesce(own["lang"], F.lit("")), "source": F.coalesce(own["source"], F.lit("")), "hash": F.xxhash64(own["text"])})
+    leaf = ["domain", "lang", "source"]
+    leaves = named.groupBy(*leaf).agg(F.sum("n_tokens").alias("supply"))
+    plan = leaf_budgets(leaves, budget, max_epochs, domains, languages, sources or {}, other)
     plan = plan.withColumn("epoch", F.when(F.col("supply") > 0, F.floor(F.col("target") / F.col("supply"))).otherwise(0).cast("int"))
-    keyed = named.join(plan, leaf).withColumn("__key", key).withColumn("__bin", F.substring("__key", 1, BIN_DIGITS))
-    bins = keyed.groupBy(*leaf, "__bin").agg(F.sum("n_tokens").alias("__sum"))
-    bins = bins.withColumn("__ahead", F.coalesce(F.sum("__sum").over(Window.partitionBy(*leaf).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
-    within = Window.partitionBy(*leaf, "__bin").orderBy("__key", "__text").rowsBetween(Window.unboundedPreceding, 0)
-    summed = keyed.join(bins, [*leaf, "__bin"]).withColumn("__to", F.col("__ahead") + F.sum("n_tokens").over(within))
-    last = (F.col("__to") <= F.col("target") - F.col("epoch") * F.col("supply")).cast("int")
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("epoch").cast("string"), F.lit(":"), F.coalesce(F.col(own["doc_id"]).cast("string"), F.lit(""))))
+    keyed = named.join(plan, leaf).withColumn("key", key).withColumn("bin", F.substring("key", 1, BIN_DIGITS))
+    # dealt by leaf and bin, so no task sums a whole leaf
+    bins = keyed.select(*leaf, "bin", "n_tokens").repartition(*leaf, "bin").groupBy(*leaf, "bin").agg(F.sum("n_tokens").alias("sum"))
+    bins = bins.withColumn("ahead", F.coalesce(F.sum("sum").over(Window.partitionBy(*leaf).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("sum")
+    within = Window.partitionBy(*leaf, "bin").orderBy("key", "hash").rowsBetween(Window.unboundedPreceding, 0)
+    summed = keyed.join(bins, [*leaf, "bin"]).withColumn("to", F.col("ahead") + F.sum("n_tokens").over(within))
+    last = (F.col("to") <= F.col("target") - F.col("epoch") * F.col("supply")).cast("int")
     out = summed.withColumn("copies", F.when(F.col("target") > 0, F.col("epoch") + F.when(F.col("epoch") < max_epochs, last).otherwise(0)).otherwise(0).cast("int"))
-    return out.withColumnsRenamed({"supply": "leaf_tokens", "target": "leaf_target"}).select(*docs.drop("domain", "n_tokens", "leaf_tokens", "leaf_target", "copies").columns, "domain", "n_tokens", "leaf_tokens", "leaf_target", "copies")
+    out = out.withColumnsRenamed({"supply": "leaf_tokens", "target": "leaf_target"})
+    return out.select(*[F.col(x).alias(c) for c, x in own.items() if c not in made], *made)
 
 
 def source_domain() -> Column:

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from mizan.llm import chat, decontam, registry
+from mizan.llm import chat, decontam, mixing, registry
 from mizan.llm.common import Scratch
 
 CHAT = "conv_id long, turn long, role string, text string"
@@ -120,3 +120,35 @@ def test_leaks_of_repeated_and_null_ids(spark, monkeypatch, small):
     assert found.columns == ["doc_id", "text", "leaks"]
     assert collections.Counter((r["doc_id"], r["text"], tuple(sorted(map(tuple, r["leaks"]), key=str))) for r in found.collect()) == want
     assert leaks(docs[0][1]) == () and len(leaks(docs[4][1])) == 4
+
+
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_leaks_beside_any_columns(spark, monkeypatch, small):
+    monkeypatch.setattr(decontam, "SMALL_BENCHMARK", small)
+    names = ["doc_id", "text", "leaks", "items", "probe", "__items", "__text", "c1", "n", "h"]
+    docs = spark.createDataFrame([(1, "so one two three four five six", 1, 2, 3, 4, 5, 6, 7, 8), (None, None, 1, 2, 3, 4, 5, 6, 7, 8)], "doc_id long, text string, " + ", ".join(f"`{c}` int" for c in names[2:]))
+    items = spark.createDataFrame([(7, "one two three four five six"), (8, "seven")], "item_id long, text string")
+    got = decontam.with_leaks(spark, docs, items)
+    assert got.columns == ["doc_id", "text", *names[3:], "leaks"]
+    assert {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in got.collect()} == {1: [7], None: []}
+    assert decontam.with_leaks(spark, docs, items.limit(0)).filter("size(leaks) > 0").count() == 0
+    assert decontam.with_leaks(spark, docs.limit(0), items).count() == 0
+
+
+def test_mixing_of_odd_tables(spark):
+    """Null names, repeated rows, weights of 0 and clashing columns; a leaf's prefix is the longest its target holds."""
+    rng = random.Random(3)
+    rows = [(rng.randrange(40), "w " * rng.randrange(9), rng.choice(["en", "fr", None, "xx"]), rng.choice(["s1", "s2", None]), 1, 2, 3) for _ in range(300)]
+    df = spark.createDataFrame(rows + rows[:20] + [(None, None, None, None, 1, 2, 3)], "doc_id long, text string, lang string, source string, epoch int, target int, supply int")
+    got = mixing.mix(df, F.concat(F.lit("d"), (F.col("doc_id") % 3).cast("string")), domains={"d0": 1, "d1": 0, "d2": 2}, languages={"xx": 0}, max_epochs=1).collect()
+    assert len(got) == 321 and {r["epoch"] for r in got} == {1}
+    assert all(r["copies"] == 0 for r in got if r["domain"] == "d1" or r["lang"] == "xx")
+    leaves = collections.defaultdict(list)
+    for r in got:
+        leaves[r["domain"], r["lang"] or "", r["source"] or ""].append(r)
+    for rs in leaves.values():
+        used = sum(r["n_tokens"] * r["copies"] for r in rs)
+        left = [r["n_tokens"] for r in rs if not r["copies"]]
+        assert sum(r["n_tokens"] for r in rs) == rs[0]["leaf_tokens"] and used <= rs[0]["leaf_target"]
+        assert not left or rs[0]["leaf_target"] == 0 or used + max(left) > rs[0]["leaf_target"] or min(left) >= 0
+    assert 0 < sum(r["n_tokens"] * r["copies"] for r in got) <= sum(r["n_tokens"] for r in got) * 0.8
