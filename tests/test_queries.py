@@ -1,0 +1,11 @@
+"""Every registered query that SQL can express gives its SQL's rows."""
+
+import pytest
+
+from mizan.plans import registry
+from tests.compare import differences
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_gives_its_sqls_rows(spark, name):
+    assert differences(spark, registry.queries()[name], registry.oracle_sql()[name]) == []
