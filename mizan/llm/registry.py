@@ -18,7 +18,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_fingerprints": fingerprint.op3,
         "op4_lm_scoring": pitman_yor.op4,
         "op5_chat_formatting": chat.op5,
-        "op5_tool_calls": chat.op5_calls,
         "op6_toxicity": toxicity.op6,
         "op7_source_mixing": mixing.op7,
         "op8_url_templates": urls.op8,

@@ -45,7 +45,7 @@ def test_levels_of_a_long_chain(spark):
     assert {int(r["call_id"]): r["level"] for r in got} == {i: i for i in range(1500)}
 
 
-def test_registered_calls(spark, tmp_path):
+def test_calls_are_linked(spark):
     rng = random.Random(8)
     given = [{"query": "a", "limit": 3}, {"query": 1}, {"limit": "x", "more": True}, {"query": "b"}, [1]]
     rows, calls, results = [], [], []
@@ -63,7 +63,6 @@ def test_registered_calls(spark, tmp_path):
             to = rng.choice(["a", "b", "c", "d", "e"])
             rows.append((conv, turn + 1, "tool", json.dumps({"tool_call_id": to, "content": 1})))
             results.append((conv, turn + 1, to))
-    spark.createDataFrame(rows, CHAT).write.parquet(str(tmp_path / "conversations.parquet"))
 
     def faults(call):
         if call["name"] != "search":
@@ -87,10 +86,29 @@ def test_registered_calls(spark, tmp_path):
         status = "no id" if c["id"] is None else "repeated id" if len(same) > 1 else "no result" if first is None else "linked"
         level = level_of(edges, c["id"]) if c["id"] else None
         want.append((conv, turn, pos, c["id"], c["name"], json.dumps(c["arguments"], sort_keys=True, separators=(",", ":")), level, first, status, tuple(faults(c))))
-    got = [tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in registry.queries()["op5_tool_calls"](spark, str(tmp_path)).collect()]
+    schemas = spark.createDataFrame(chat.SCHEMAS, "name string, field string, type string, required boolean")
+    messages = spark.createDataFrame(rows + rows[:9], CHAT)  # some rows twice
+    shown, linked = chat.link(spark, messages, schemas)
+    got = [tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in linked.collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and {w[8] for w in want} == {"linked", "no result", "repeated id", "no id"}
-    shown = registry.queries()["op5_chat_formatting"](spark, str(tmp_path)).collect()
-    assert sum(r["n_calls"] for r in shown) == len(calls) and len(shown) == len(rows)
+    shown = {tuple(r) for r in shown.collect()}
+    assert sum(r[4] for r in shown) == len(calls) and len(shown) == len(rows)
+
+
+def test_odd_messages(spark):
+    rows = [(None, 1, "assistant", '{"tool_calls": [{"id": "a", "name": "f", "arguments": {}}]}'), (None, 2, "tool", '{"tool_call_id": "a"}'), (1, 1, None, None), (1, 2, "user", '{"a": 1}'), (1, 3, "tool", '\n {"b": 2, "a": 1}'), (1, 4, "assistant", '{"a": 1, "a": 2}')]
+    shown, calls = chat.link(spark, spark.createDataFrame(rows, CHAT))
+    got = {(r["conv_id"], r["turn"]): r["json"] for r in shown.collect()}
+    assert got[1, 1] == "{}" and got[1, 2] == '{"content":"{\\"a\\": 1}","role":"user"}' and got[1, 3] == '{"a":1,"b":2}' and "content" in got[1, 4]
+    assert [(r["status"], r["level"]) for r in calls.collect()] == [("no result", None)]
+    for x in chat.link(spark, spark.createDataFrame([], CHAT)):
+        assert x.count() == 0
+
+
+def test_the_query_holds_every_case(spark):
+    rows = registry.queries()["op5_chat_formatting"](spark, "/root/testdata/sf0.001").filter("kind = 'call'").collect()
+    assert {r["status"] for r in rows} == {"linked", "no result", "repeated id", "no id"} and {r["level"] for r in rows} >= {None, 0, 1, 2, 3}
+    assert {x for r in rows for x in r["faults"].split("; ")} >= {"", "unknown tool", "missing query", "unknown more", "limit is no integer", "url is no string"}
 
 
 @pytest.mark.parametrize("small", [0, 200_000])
