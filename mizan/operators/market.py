@@ -41,19 +41,13 @@ def price_outliers(rows: DataFrame, span: int = 2, least: int = 3, factor: float
     """rows and near_median, is_outlier: an asking price outside a factor of the median of its model's rows within
     `span` years, or of the whole model if fewer than `least` are so near.
 
-    Years of a model are few, so each (model, year) gathers its near prices by an equi-join on the model over distinct
-    years: work is rows times years near, never rows times rows."""
+    Each row is offered to the years it is near to, so work is rows times the span, never rows times rows or years."""
     priced = rows.filter("model_year is not null and asking_price is not null")
     years = priced.select("model_id", F.col("model_year").alias("y")).distinct()
-    spread = priced.select("model_id", "model_year", "asking_price").join(years, "model_id")
-    near = F.abs(F.col("model_year") - F.col("y")) <= span
-    # the whole model's median is the fallback, so every row of the model takes part once for each year of it
-    medians = spread.groupBy("model_id", "y").agg(
-        F.count_if(near).alias("n_near"),
-        F.expr(f"percentile(asking_price, 0.5) FILTER (WHERE abs(model_year - y) <= {span})").alias("close"),
-        F.percentile("asking_price", 0.5).alias("whole"),
-    )
-    usual = medians.select("model_id", F.col("y").alias("model_year"), F.when(F.col("n_near") >= least, F.col("close")).otherwise(F.col("whole")).alias("near_median"))
+    offered = priced.select("model_id", F.explode(F.sequence(F.col("model_year") - span, F.col("model_year") + span)).alias("y"), "asking_price").join(years, ["model_id", "y"], "left_semi")
+    close = offered.groupBy("model_id", "y").agg(F.count("*").alias("n"), F.percentile("asking_price", 0.5).alias("close"))
+    whole = priced.groupBy("model_id").agg(F.percentile("asking_price", 0.5).alias("whole"))
+    usual = close.join(whole, "model_id").select("model_id", F.col("y").alias("model_year"), F.when(F.col("n") >= least, F.col("close")).otherwise(F.col("whole")).alias("near_median"))
     both = priced.join(usual, ["model_id", "model_year"])
     off = (F.col("asking_price") > F.col("near_median") * factor) | (F.col("asking_price") * factor < F.col("near_median"))
     return both.withColumn("is_outlier", off)
