@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from mizan.operators.events import tehran_day
 from mizan.operators.market import first_of_reposts, price_outliers
+from mizan.session import cut
 
 #: Fixed values of the method.
 WINDOW_DAYS, KM_A_YEAR, ZERO_KM, STRENGTH = 30, 20_000, 1_000, 20
@@ -173,7 +174,7 @@ def ridge(rows: DataFrame, year_now: int, rounds: int = 50) -> Fit:
     """The ridge fit of ln price toward the priors, its effects and each model's whole slope held to their bounds by an
     active set. Rows are read once, for their sums; a round goes over the sums alone. The driver sees one system of N
     unknowns a round, and as many slopes as models pass their bounds."""
-    stats = sums(rows, year_now).cache()  # one row for each model and trim
+    stats = cut(sums(rows, year_now))  # one row for each model and trim
     held: dict = {}
     fixed: dict[int, float] = {}
 
@@ -229,35 +230,36 @@ def ridge(rows: DataFrame, year_now: int, rounds: int = 50) -> Fit:
     free = [i for i in range(N) if i not in fixed]
     covariance = np.zeros((N, N))
     covariance[np.ix_(free, free)] = np.linalg.inv(a[np.ix_(free, free)])
-    return Fit(dict(zip(TERMS, beta.tolist(), strict=True)), own(beta).drop("own"), covariance, held)
+    return Fit(dict(zip(TERMS, beta.tolist(), strict=True)), cut(own(beta).drop("own")), covariance, held)
 
 
 def left_out(fit: Fit, rows: DataFrame, year_now: int) -> DataFrame:
     """rows with ln_value, and ln_left_out: what the fit would say of a row had it not learnt from it, by the row's
     leverage x' A^-1 x, which each model's own block and the shared covariance give without any large matrix."""
-    x = features(year_now)
-    wide = fit.predicted(rows, year_now).withColumn("__x", F.array(*x.values()))
-    own = fit.models.select("model_id", "trim_id", "inverse", "half")
-    named = own.filter("trim_id is not null").select("model_id", "trim_id", F.col("inverse").alias("__i3"), F.col("half").alias("__h3"))
-    base = own.filter("trim_id is null").select("model_id", F.col("inverse").alias("__i2"), F.col("half").alias("__h2"))
+    wide = rows.withColumn("__x", F.array(*features(year_now).values()))
+    base = fit.models.filter("trim_id is null").select("model_id", "level", "slope", F.col("inverse").alias("__i2"), F.col("half").alias("__h2"))
+    named = fit.models.filter("trim_id is not null").select("model_id", "trim_id", "trim_level", F.col("inverse").alias("__i3"), F.col("half").alias("__h3"))
     both = wide.join(base, "model_id").join(named, ["model_id", "trim_id"], "left")
-    both = both.select(*wide.columns, F.coalesce("__i3", "__i2").alias("__i"), F.coalesce("__h3", "__h2").alias("__h"))
-    c = fit.covariance
+    extra = ["level", "slope", "trim_level", "__x", "__i2", "__h2", "__i3", "__h3"]
+    both = both.select(*rows.columns, *extra)
+    c, shared = fit.covariance, np.array(list(fit.shared.values()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            x = np.stack(batch["__x"]) if len(batch) else np.zeros((0, N))
             leverage = np.zeros(len(batch))
-            for k, (v, i, h) in enumerate(zip(batch["__x"], batch["__i"], batch["__h"], strict=True)):
-                size = 3 if len(i) == 9 else 2
+            for k, (v, i2, h2, i3, h3) in enumerate(zip(x, batch["__i2"], batch["__h2"], batch["__i3"], batch["__h3"], strict=True)):
+                i, h, size = (i2, h2, 2) if i3 is None else (i3, h3, 3)
                 m = np.array([1.0, v[0], 1.0][:size])
-                u = np.asarray(v) - np.asarray(h).reshape(N, size) @ m
+                u = v - np.asarray(h).reshape(N, size) @ m
                 leverage[k] = m @ np.asarray(i).reshape(size, size) @ m + u @ c @ u
+            value = batch["level"] + batch["slope"] * x[:, 0] + batch["trim_level"].fillna(0.0) + x[:, 1:] @ shared[1:]
             y = np.log(batch["asking_price"].to_numpy(float))
-            batch["ln_left_out"] = y - (y - batch["ln_value"].to_numpy(float)) / np.maximum(1 - leverage, 1e-6)
-            yield batch.drop(columns=["__x", "__i", "__h"])
+            out = batch.drop(columns=extra)
+            yield out.assign(ln_value=value, ln_left_out=y - (y - value.to_numpy(float)) / np.maximum(1 - leverage, 1e-6))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide.drop("__x").schema.fields)
-    return both.mapInPandas(run, schema + ", ln_left_out double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return both.mapInPandas(run, schema + ", ln_value double, ln_left_out double")
 
 
 def residual_outliers(rows: DataFrame, residual: Column, mads: float = MADS) -> DataFrame:
@@ -289,14 +291,17 @@ class Valuation:
 
 def valuation(rows: DataFrame, year_now: int) -> Valuation:
     """The whole fit: price outliers out, a first fit, residual outliers out, the final fit, segments by leave-one-out
-    errors, and every comparable of a segment with fitted value and is_outlier."""
-    marked = price_outliers(rows, factor=FACTOR).drop("near_median")
+    errors, and every comparable of a segment with fitted value and is_outlier. What several steps read is
+    written once."""
+    marked = cut(price_outliers(rows, factor=FACTOR).drop("near_median"))
     first = marked.filter("not is_outlier")
     early = ridge(first, year_now)
     far = residual_outliers(early.predicted(first, year_now), F.log("asking_price") - F.col("ln_value")).filter("is_far").select("listing_id")
-    kept = first.join(far, "listing_id", "left_anti")
+    far = cut(far)
+    kept = cut(first.join(far, "listing_id", "left_anti"))
     final = ridge(kept, year_now)
     parts = segments(left_out(final, kept, year_now), F.exp("ln_left_out"))
+    parts = cut(parts)
     gone = marked.filter("is_outlier").select("listing_id").union(far).withColumn("is_outlier", F.lit(True))
     every = final.predicted(rows.join(parts.select("model_id"), "model_id", "left_semi"), year_now).filter("ln_value is not null")
     every = every.join(gone, "listing_id", "left").withColumns({"is_outlier": F.coalesce("is_outlier", F.lit(False)), "fitted": F.floor(F.exp("ln_value") + 0.5).cast("long")})
