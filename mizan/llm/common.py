@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
+#: Texts that go to a Python worker at once.
+BATCH_ROWS = 1_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one made here, in local mode
     alone (tests), since a cluster's machines would not share it."""
@@ -26,6 +30,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) in (None, "10000"):  # the default: whole texts want less
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:

@@ -124,15 +124,16 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def holding(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is among ids(doc_id).
+    """docs whose doc_id is among ids(doc_id), which has each once.
 
     A table of 2**24 bits, in 262,144 rows at most, goes to every task first and lets only hashes of ids through, so a
-    small share of the texts is shuffled for the join that decides."""
+    small share of the texts is shuffled for the join that decides. That is an inner join: Spark would move a semi join
+    to where all texts still are."""
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24))
     word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
     table = ids.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
     likely = docs.withColumns({"__word": word, "__bit": bit}).join(F.broadcast(table), "__word").filter("__bits & __bit <> 0")
-    return likely.select(*docs.columns).join(ids, "doc_id", "left_semi")
+    return likely.select(*docs.columns).join(ids, "doc_id")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
