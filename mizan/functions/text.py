@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 #: Digits of three scripts, letters with one form each, marks that are not shown.
 PERSIAN, ARABIC, LATIN = "۰۱۲۳۴۵۶۷۸۹", "٠١٢٣٤٥٦٧٨٩", "0123456789"
-LETTERS_FROM, LETTERS_TO = "يىكةۀ", "ییکهه"
-HIDDEN = "\\u200E\\u200F\\u202A-\\u202E\\u2066-\\u2069"
+LETTERS_FROM, LETTERS_TO = "يىك", "ییک"
+HEH_FROM, HEH_TO = "ۀ", "ه"
+HIDDEN = "\\u061C\\u200E\\u200F\\u202A-\\u202E\\u2066-\\u2069"
 ZWNJ, TATWEEL = "‌", "ـ"
 GROUP_MARKS = ",،٫٬"
+MOST_WHOLE = 2**53 - 1
 
 
 def to_latin_digits(text: Column) -> Column:
@@ -20,7 +22,8 @@ def to_latin_digits(text: Column) -> Column:
 
 
 def to_persian_digits(text: Column) -> Column:
-    return F.translate(text, LATIN + ARABIC, PERSIAN * 2)
+    """Latin digits alone; others stay as they are."""
+    return F.translate(text, LATIN, PERSIAN)
 
 
 def without_hidden(text: Column) -> Column:
@@ -34,7 +37,7 @@ def with_persian_letters(text: Column) -> Column:
 
 def normalised(text: Column) -> Column:
     """One form of letters and digits, no tatweel, half-spaces as spaces, lower case, single spaces."""
-    folded = F.translate(to_latin_digits(with_persian_letters(text)), ZWNJ + TATWEEL, " ")
+    folded = F.translate(to_latin_digits(with_persian_letters(text)), HEH_FROM + ZWNJ + TATWEEL, HEH_TO + " ")
     return F.trim(F.regexp_replace(F.lower(folded), "\\s+", " "))
 
 
@@ -61,11 +64,12 @@ def lexemes(text: Column) -> Column:
 
 
 def whole_number(text: Column) -> Column:
-    """A whole number, plain or grouped by exactly three digits; null for anything else and beyond 15 digits."""
+    """A whole number, plain or grouped by exactly three digits; null for anything else and beyond 2**53 - 1."""
     plain = F.trim(to_latin_digits(without_hidden(text)))
     marks = "[" + GROUP_MARKS + "]"
-    right = plain.rlike("^[0-9]{1,15}$") | plain.rlike(f"^[0-9]{{1,3}}({marks}[0-9]{{3}}){{1,4}}$")
-    return F.when(right, F.regexp_replace(plain, marks, "").cast("long"))
+    right = plain.rlike("^[0-9]+$") | plain.rlike(f"^[0-9]{{1,3}}({marks}[0-9]{{3}}){{1,}}$")
+    value = F.when(right, F.regexp_replace(plain, marks, "").try_cast("decimal(38,0)"))
+    return F.when(value <= MOST_WHOLE, value.cast("long"))
 
 
 MOST_TOMAN, PLACEHOLDER = 999_999_999_999_999, 10_000_000
@@ -145,10 +149,10 @@ def vocabulary(docs: DataFrame, text: str) -> DataFrame:
 
 def matches(tokens: Column, terms: list[tuple[str, bool]]) -> Column:
     """All terms are among the tokens: (word, exact), else as a prefix."""
+    begins = lambda word: lambda t: t.startswith(word)  # noqa: E731  Spark reads a second parameter as an index
     out = F.lit(True)
     for word, exact in terms:
-        one = F.array_contains(tokens, word) if exact else F.exists(tokens, lambda t, w=word: t.startswith(w))
-        out = out & one
+        out = out & (F.array_contains(tokens, word) if exact else F.exists(tokens, begins(word)))
     return out
 
 

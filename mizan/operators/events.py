@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 TEHRAN = "Asia/Tehran"
 
@@ -80,9 +81,9 @@ def merged_sweep(rows: DataFrame) -> DataFrame:
 
 def difference(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """(key, action): what makes stored into fresh: insert, update, delete; rows that are equal are left out. Both share
-    their columns; one full outer join of key and a hash of all values."""
+    their columns; one full outer join of key and a hash of all values and of which are null."""
     values = [c for c in fresh.columns if c != key]
-    h = lambda t, n: t.select(key, F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in values]).alias(n))
+    h = lambda t, n: t.select(key, F.xxhash64(*[x for c in values for x in (F.col(c).isNull(), F.col(c))]).alias(n))
     both = h(stored, "a").join(h(fresh, "b"), key, "full_outer")
     action = F.when(F.col("a").isNull(), "insert").when(F.col("b").isNull(), "delete").when(F.col("a") != F.col("b"), "update")
     return both.select(key, action.alias("action")).filter("action is not null")
@@ -167,14 +168,28 @@ def daily_spend(rows: DataFrame, at: str, keys: list[str], amount: str) -> DataF
     return rows.groupBy(*keys, tehran_day(F.col(at)).alias("day")).agg(F.count("*").alias("n"), F.round(F.sum(amount), 4).alias("spent"))
 
 
-def within_budget(rows: DataFrame, day: str, order: list[Column], budget: int, reserves: dict[str, float], tier: str) -> DataFrame:
-    """rows and allowed: whether what was spent on the day before a row, and the row, leave its tier's reserve untouched.
+def within_budget(rows: DataFrame, day: str, order: str, budget: int, reserves: dict[str, float], tier: str) -> DataFrame:
+    """rows and allowed: whether a request, in order, still leaves its tier's reserve (rounded up) of the day's budget. What
+    is refused spends nothing, so a tier that is closed does not shorten the others' day.
 
-    A running count by day; a day's requests are numbered by one task, as many as a day's budget is worth keeping."""
-    place = F.row_number().over(Window.partitionBy(day).orderBy(*order))
-    kept = F.create_map(*[F.lit(x) for p in reserves.items() for x in p])
-    limit = F.lit(budget) * (1 - F.coalesce(kept[F.col(tier)], F.lit(0.0)))
-    return rows.withColumn("place", place).withColumn("allowed", F.col("place") <= limit)
+    A day's requests are read in order by one task, which carries what is spent; it holds a batch at a time."""
+    some = rows.withColumns({"__day": F.col(day).cast("string"), "__tier": F.col(tier).cast("string")})
+    schema = StructType([*rows.schema.fields, StructField("allowed", BooleanType())])
+    kept = rows.columns
+    limits = {t: budget - math.ceil(budget * share) for t, share in reserves.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        today, spent = None, 0
+        for batch in batches:
+            allowed = []
+            for d, t in zip(batch.column("__day").to_pylist(), batch.column("__tier").to_pylist(), strict=True):
+                if d != today:
+                    today, spent = d, 0
+                allowed.append(spent + 1 <= limits.get(t, budget))
+                spent += allowed[-1]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(allowed, pa.bool_())], [*kept, "allowed"])
+
+    return some.repartition("__day").sortWithinPartitions("__day", order, *[c for c in rows.columns if c != order]).mapInArrow(run, schema)
 
 
 def throttled(digests: DataFrame, key: str, at: str, minutes: int = 120, most: int = 8) -> DataFrame:

@@ -76,9 +76,9 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-#: Best first.
+#: Fixed values, best first: ratings and body conditions as data and links hold them.
 RATINGS = ["great", "good", "fair", "high", "overpriced"]
-BODY_CONDITIONS = ["intact", "minor_scratch", "repainted_one", "repainted_two", "repainted_around", "fully_repainted", "dented", "accident_damaged"]
+BODY_CONDITIONS = ["intact", "minor_scratches", "paintless_dent_repair", "partly_repainted", "repainted_around", "fully_repainted", "accident_damaged", "salvage"]
 PAGE, MOST, POPULAR_RANK = 24, 48, 15
 LOW_KM_A_YEAR = 12_000
 
@@ -95,7 +95,7 @@ class Filter:
 
 
 _choice = lambda i, p=None, c=None: Filter(i, p or i, "choice", c or i)
-#: Every filter, in the order in which conditions are joined.
+#: Every filter, with fixed parameter names (links hold them), in the order in which conditions are joined.
 FILTERS = {
     f.id: f
     for f in [
@@ -108,7 +108,7 @@ FILTERS = {
         Filter("paint_free", "nopaint", "flag", "paint_free"), Filter("body_condition", "bodystate", "ranked", "body_condition", tuple(BODY_CONDITIONS)),
         _choice("engine_condition", "engine"), _choice("gearbox_condition", "gearboxstate"), _choice("chassis", c="chassis_condition"),
         Filter("no_accident", "noaccident", "flag", "accident"), Filter("no_replaced_parts", "noreplaced", "flag", "replaced_parts"),
-        Filter("not_ride_hailing", "noride", "flag", "ride_hailing"), Filter("no_free_zone_plate", "nozone", "flag", "plate"),
+        Filter("not_ride_hailing", "notaxi", "flag", "ride_hailing"), Filter("no_free_zone_plate", "nofreezone", "flag", "plate"),
         Filter("insurance", "insurance", "limit", "insurance_months"), Filter("swap", "swap", "flag", "offers_swap"),
         Filter("installments", "installments", "flag", "offers_installments"), _choice("city"), _choice("district"),
         _choice("seller", c="seller_type"), _choice("source", c="source_id"), Filter("has_photo", "photo", "flag", "photo_count"),

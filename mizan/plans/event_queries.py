@@ -96,12 +96,18 @@ QUERIES = {
     "stm16_heartbeats": (lambda s, d: E.silent(table(s, d, "events"), "user_id", "ts", at(END), 86_400), f"SELECT user_id, max(ts) AS last, max(ts) >= TIMESTAMP '{END}' - INTERVAL 1 DAY AS alive FROM events GROUP BY 1"),
     "agg21_daily_spend": (lambda s, d: E.daily_spend(table(s, d, "events"), "ts", ["event_type"], "value"), f"SELECT event_type, {DAY_SQL} AS day, count(*) AS n, round(sum(value), 4) AS spent FROM events GROUP BY 1, 2"),
     "stm17_budget": (
-        lambda s, d: E.within_budget(table(s, d, "events").withColumn("day", E.tehran_day(F.col("ts"))), "day", [F.asc("ts"), F.asc("event_id")], 200, {"view": 0.25, "click": 0.5}, "event_type").groupBy("day", "event_type").agg(F.count_if("allowed").alias("allowed"), F.count("*").alias("n")),
-        f"WITH p AS (SELECT {DAY_SQL} AS day, event_type, row_number() OVER (PARTITION BY {DAY_SQL} ORDER BY ts, event_id) AS place FROM events) SELECT day, event_type, count(*) FILTER (WHERE place <= 200 * (1 - CASE event_type WHEN 'view' THEN 0.25 WHEN 'click' THEN 0.5 ELSE 0 END)) AS allowed, count(*) AS n FROM p GROUP BY 1, 2",
+        lambda s, d: E.within_budget(table(s, d, "events").select("ts", "event_type", E.tehran_day(F.col("ts")).alias("day")), "day", "ts", 200, {"view": 0.25, "click": 0.5}, "event_type").groupBy("day", "event_type").agg(F.count_if("allowed").alias("allowed"), F.count("*").alias("n")),
+        f"""WITH p AS (SELECT {DAY_SQL} AS day, event_type, CASE event_type WHEN 'click' THEN 100 WHEN 'view' THEN 150 ELSE 200 END AS most, row_number() OVER (PARTITION BY {DAY_SQL} ORDER BY ts) AS place FROM events),
+ a AS (SELECT day, place, row_number() OVER (PARTITION BY day ORDER BY place) AS k FROM p WHERE place > 100 AND most >= 150), ea AS (SELECT day, max(place) FILTER (WHERE k = 50) AS e FROM a GROUP BY 1),
+ b AS (SELECT p.day, place, row_number() OVER (PARTITION BY p.day ORDER BY place) AS k FROM p JOIN ea ON ea.day = p.day AND place > e WHERE most >= 200), eb AS (SELECT day, max(place) FILTER (WHERE k = 50) AS e FROM b GROUP BY 1)
+ SELECT p.day, event_type, count(*) FILTER (WHERE place <= CASE most WHEN 100 THEN 100 WHEN 150 THEN coalesce(ea.e, place) ELSE coalesce(eb.e, place) END) AS allowed, count(*) AS n FROM p LEFT JOIN ea ON ea.day = p.day LEFT JOIN eb ON eb.day = p.day GROUP BY 1, 2""",
     ),
     "stm10_throttled": (
         lambda s, d: E.throttled(table(s, d, "events").select("user_id", "ts"), "user_id", "ts"),
-        f"WITH g AS (SELECT user_id, ts, epoch(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) / 60 AS gap FROM events), k AS (SELECT user_id, ts, {DAY_SQL} AS day FROM g WHERE gap IS NULL OR gap >= 120) SELECT user_id, ts, day, CAST(row_number() OVER (PARTITION BY user_id, day ORDER BY ts) AS INT) AS place FROM k QUALIFY place <= 8",
+        f"""WITH RECURSIVE e AS (SELECT user_id, ts, {DAY_SQL} AS day FROM events),
+ sent AS (SELECT user_id, min(ts) AS ts, arg_min(day, ts) AS day, 1 AS place FROM e GROUP BY 1
+ UNION ALL SELECT s.user_id, min(e.ts), arg_min(e.day, e.ts), CASE WHEN arg_min(e.day, e.ts) = any_value(s.day) THEN any_value(s.place) + 1 ELSE 1 END FROM sent s JOIN e ON e.user_id = s.user_id AND e.ts >= s.ts + INTERVAL 120 MINUTE AND NOT (e.day = s.day AND s.place >= 8) GROUP BY s.user_id)
+ SELECT user_id, ts, day, CAST(place AS INT) AS place FROM sent""",
     ),
     "stm11_once": (lambda s, d: E.once(table(s, d, "events").select(F.col("user_id").alias("account"), F.col("event_type").alias("event_key"), F.col("ts").alias("at"))), "SELECT user_id AS account, event_type AS event_key, min(ts) AS at FROM events GROUP BY 1, 2"),
     "stm09_alerts": (
@@ -109,7 +115,7 @@ QUERIES = {
         RATED_SQL + " UNION ALL ".join(f"SELECT '{k}' AS file, count(*) AS n, count(*) FILTER (WHERE rating IN ('great', 'good')) AS good, max(listed_at) AS newest FROM rated WHERE listed_at > TIMESTAMP '2001-01-01' AND listed_at <= TIMESTAMP '2001-06-30 23:59:00' AND {v} HAVING count(*) > 0" for k, v in FILES_SQL.items()),
     ),
     "str02_whole_number": (numbers, "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 2 THEN CAST(round(o_totalprice) AS BIGINT) END AS n FROM orders"),
-    "agg17_vocabulary": (lambda s, d: T.vocabulary(table(s, d, "documents"), "text"), None),
+    "agg17_vocabulary": (lambda s, d: T.vocabulary(table(s, d, "documents"), "text"), WORDS_SQL),
     "txt04_text_match": (
         lambda s, d: table(s, d, "part").filter(T.matches(T.lexemes(F.col("p_type")), [("pro", False)]) | T.matches(T.lexemes(F.col("p_type")), [("standard", True)])).groupBy("p_type").agg(F.count("*").alias("n")),
         "SELECT p_type, count(*) AS n FROM part WHERE starts_with(lower(p_type), 'pro') OR lower(p_type) = 'standard' GROUP BY 1",

@@ -11,7 +11,7 @@ def one(spark, column, **values):
 
 
 def test_numbers(spark):
-    for text, want in [("۱٬۲۳۴", 1234), ("12,34", None), ("1,234,567", 1234567), ("", None), ("٤٢", 42), ("1234567890123456", None)]:
+    for text, want in [("۱٬۲۳۴", 1234), ("12,34", None), ("1,234,567", 1234567), ("", None), ("٤٢", 42), ("1234567890123456", 1234567890123456), ("9007199254740992", None), ("1" * 40, None)]:
         assert one(spark, T.whole_number(F.col("t")), t=text) == want, text
     assert one(spark, T.price_read(F.col("t")), t="توافقی")["kind"] == "negotiable"
     assert one(spark, T.price_read(F.col("t")), t="۸۰۰٬۰۰۰٬۰۰۰ تومان").asDict() == {"kind": "asking", "amount": 800_000_000}
