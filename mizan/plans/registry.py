@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mizan.plans import event_queries, reading_queries, search_queries, valuation_queries
+from mizan.plans import document_queries, event_queries, reading_queries, search_queries, valuation_queries
 
 FLAGSHIP = "qry01_search_page"
 
@@ -17,7 +17,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
-    return search_queries.QUERIES | event_queries.QUERIES | valuation_queries.QUERIES | reading_queries.QUERIES
+    return search_queries.QUERIES | event_queries.QUERIES | valuation_queries.QUERIES | reading_queries.QUERIES | document_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
