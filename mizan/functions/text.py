@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -187,14 +189,16 @@ def corrections(asked: DataFrame, vocabulary: DataFrame, total: int) -> DataFram
     return unknown.select("word").join(best, "word", "left")
 
 
+def plain_terms(query: str) -> list[tuple[str, bool]]:
+    """The different words of a query in their order, each with whether it must be met exactly, as numbers must."""
+    folded = unicodedata.normalize("NFKC", query).translate(str.maketrans(PERSIAN + ARABIC + LETTERS_FROM, LATIN * 2 + LETTERS_TO)).lower()
+    return [(w, w.isdigit()) for w in dict.fromkeys(re.findall(r"[^\W\d_]+|\d+", folded))]
+
+
 def text_plan(query: str, vocabulary: DataFrame, total: int, tries: int = 3) -> dict:
     """terms [(word, exact)], corrections and unmatched words of a query: numbers are exact, words are prefixes, a word
     that is no prefix of any known one is corrected, three of them at most. Only the query's own words are collected."""
-    import re
-    import unicodedata
-
-    folded = unicodedata.normalize("NFKC", query).translate(str.maketrans(PERSIAN + ARABIC + LETTERS_FROM, LATIN * 2 + LETTERS_TO)).lower()
-    words = list(dict.fromkeys(re.findall(r"[^\W\d_]+|\d+", folded)))
+    words = [w for w, _ in plain_terms(query)]
     if not words:
         return {"terms": [], "corrections": {}, "unmatched": []}
     spark = vocabulary.sparkSession

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mizan.functions import text as T
+
 
 def one_of(column: str, values: list) -> Column:
     """The value is in the list; an empty list keeps nothing."""
@@ -185,10 +187,12 @@ def conditions(search: Search, clock: Clock, without: str | None = None) -> dict
     return {i: condition(f, search.filters[i], clock) for i, f in FILTERS.items() if i in search.filters and i != without}
 
 
-def searchable(search: Search, clock: Clock, *, seen: str | None = None, hours: int = 48, without: str | None = None) -> Column:
-    """The single condition that page, count, facets and alerts share; seen: also fresh by that column."""
+def searchable(search: Search, clock: Clock, *, seen: str | None = None, hours: int = 48, without: str | None = None, terms: list[tuple[str, bool]] | None = None, text: str = "search_text") -> Column:
+    """The single condition that page, count, facets and alerts share; seen: also fresh by that column. A search's words
+    must all be in the text column: terms as text_plan made them, else each word as a prefix and each number as it is."""
     fresh = [is_fresh(seen, hours, clock.column)] if seen else []
-    return all_of([*conditions(search, clock, without).values(), *fresh])
+    said = [T.matches(T.lexemes(F.col(text)), T.plain_terms(search.words) if terms is None else terms)] if search.words else []
+    return all_of([*conditions(search, clock, without).values(), *fresh, *said])
 
 
 def checked(f: Filter, value):

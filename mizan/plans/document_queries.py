@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mizan.functions import calendar as C
 from mizan.functions import extraction as X
 from mizan.operators import document as D
+from mizan.operators import predicates as P
 from mizan.operators.events import tehran_day
 from mizan.plans.event_queries import DAY_SQL
 from mizan.plans.listing import LISTINGS_SQL, NOW, RATED_SQL, YEAR_NOW, listings, now, rated
@@ -96,7 +97,13 @@ def answers(s, d):
     return table(s, d, "orders").select(F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderpriority")).alias("label"), F.when(F.col("o_orderkey") % 5 > 0, F.when(F.col("o_orderkey") % 3 == 0, "1-URGENT").otherwise(F.col("o_orderpriority"))).alias("answer"))
 
 
+def by_words(s, d):
+    rows = listings(s, d).withColumn("search_text", D.search_text(F.col("make_key"), F.col("body_type"), F.col("city")))
+    return rows.filter(P.searchable(P.Search({"gearbox": ["O"]}, words="stand un"), P.Clock(NOW, YEAR_NOW))).select("listing_id", "search_text")
+
+
 QUERIES = {
+    "prd14_words": (by_words, LISTINGS_SQL + r"SELECT listing_id, concat_ws(' ', make_key, body_type, city) AS search_text FROM listings WHERE gearbox = 'O' AND regexp_matches(concat_ws(' ', make_key, body_type, city), '(?i)(^|[^a-z])stand') AND regexp_matches(concat_ws(' ', make_key, body_type, city), '(?i)(^|[^a-z])un')"),
     "ext01_attributes": (attributes, "SELECT o_orderkey, " + ", ".join(f"{sql_list(v)}[CAST(o_orderkey % {len(w)} AS INT) + 1] AS {k}" for k, (w, v) in WRITTEN.items()) + " FROM orders"),
     "agg22_field_tallies": (
         field_tallies,
