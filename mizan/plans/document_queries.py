@@ -99,11 +99,11 @@ def answers(s, d):
 
 def by_words(s, d):
     rows = listings(s, d).withColumn("search_text", D.search_text(F.col("make_key"), F.col("body_type"), F.col("city")))
-    return rows.filter(P.searchable(P.Search({"gearbox": ["O"]}, words="stand un"), P.Clock(NOW, YEAR_NOW))).select("listing_id", "search_text")
+    return rows.filter(P.searchable(P.Search({"gearbox": ["O"]}, words="Stand NAT ۱۲"), P.Clock(NOW, YEAR_NOW))).select("listing_id", "search_text")
 
 
 QUERIES = {
-    "prd14_words": (by_words, LISTINGS_SQL + r"SELECT listing_id, concat_ws(' ', make_key, body_type, city) AS search_text FROM listings WHERE gearbox = 'O' AND regexp_matches(concat_ws(' ', make_key, body_type, city), '(?i)(^|[^a-z])stand') AND regexp_matches(concat_ws(' ', make_key, body_type, city), '(?i)(^|[^a-z])un')"),
+    "prd14_words": (by_words, LISTINGS_SQL + r"SELECT listing_id, concat_ws(' ', make_key, body_type, city) AS search_text FROM listings WHERE gearbox = 'O' AND regexp_matches(concat_ws(' ', make_key, body_type, city), '(?i)(^|[^a-z])stand') AND regexp_matches(concat_ws(' ', make_key, body_type, city), '(?i)(^|[^a-z])nat') AND regexp_matches(concat_ws(' ', make_key, body_type, city), '(^|[^0-9])12([^0-9]|$)')"),
     "ext01_attributes": (attributes, "SELECT o_orderkey, " + ", ".join(f"{sql_list(v)}[CAST(o_orderkey % {len(w)} AS INT) + 1] AS {k}" for k, (w, v) in WRITTEN.items()) + " FROM orders"),
     "agg22_field_tallies": (
         field_tallies,
@@ -158,5 +158,5 @@ QUERIES = {
     ),
     "stm12_status_notices": (marks, MARKS_SQL),
     "stm20_demand": (lambda s, d: table(s, d, "events").groupBy(tehran_day(F.col("ts")).alias("day"), "user_id", "event_type").agg(F.count("*").alias("n")), f"SELECT {DAY_SQL} AS day, user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2, 3"),
-    "prd16_names": (lambda s, d: table(s, d, "part").filter(D.contains_any("Ed_", "p_type", "p_brand") | D.contains_any("el", "p_type", "p_name")).select("p_partkey"), "SELECT p_partkey FROM part WHERE p_type ILIKE '%ed!_%' ESCAPE '!' OR p_brand ILIKE '%ed!_%' ESCAPE '!' OR p_type ILIKE '%el%' OR p_name ILIKE '%el%'"),
+    "prd16_names": (lambda s, d: table(s, d, "part").filter(D.contains_any("eD w", "p_brand", "p_name") | D.contains_any("_", "p_type", "p_name")).select("p_partkey"), "SELECT p_partkey FROM part WHERE p_brand ILIKE '%ed w%' OR p_name ILIKE '%ed w%' OR p_type ILIKE '%!_%' ESCAPE '!' OR p_name ILIKE '%!_%' ESCAPE '!'"),
 }
