@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mizan.llm.common import Scratch, read
 from mizan.llm.tokens import PIECE, encoder
-from mizan.llm.words import pieces
+from mizan.llm.words import filled, pieces
 
 #: Tokens of the longest sequence, a power of two.
 LENGTH = 2048
@@ -56,7 +56,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, root: str, *, end
         code = encoder(tokenizer)
         task = TaskContext.get().partitionId()
         seen = np.zeros(steps, np.int64)
-        for batch in batches:
+        for batch in filled(batches, "text", PIECE):
             for part in pieces(batch, "text", PIECE):
                 ids, to = code.encode(part.column("text"), end)
                 sizes = np.diff(to)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from mizan.llm import chat, decontam, fingerprint, mixing, neardup, packing, pitman_yor, sharding, tokens, toxicity, urls
+from mizan.llm import chat, decontam, fingerprint, mixing, neardup, packing, pitman_yor, sharding, spelling, tokens, toxicity, urls, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_templates": urls.op8,
         "op9_benchmark_decontamination": decontam.op9,
         "op10_minhash_near_dedup": neardup.op10,
+        "op11_whitening": whitening.op11,
+        "op12_spelling_variants": spelling.op12,
         "op13_packing": packing.op13,
     }
 

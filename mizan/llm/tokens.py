@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mizan.llm.common import Scratch, read
-from mizan.llm.words import IS_SPACE, boundaries, buffers, pieces
+from mizan.llm.words import IS_SPACE, boundaries, buffers, filled, pieces
 
 #: Ids of a sequence, and sequences of a record batch.
 LENGTH, BATCH = 2048, 64
@@ -28,6 +28,13 @@ PIECE = 8 << 20
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
+#: Bytes of ASCII letters, of other ASCII marks but the apostrophe, and small letters.
+LETTER_BYTE = np.zeros(256, bool)
+LETTER_BYTE[[*range(65, 91), *range(97, 123), 0xC3]] = True
+MARK_BYTE = np.zeros(256, bool)
+MARK_BYTE[[i for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'"]] = True
+SMALL = np.arange(256, dtype=np.uint8)
+SMALL[65:91] += 32
 #: A word of its own between words that are encoded together.
 MARK = "\x01"
 
@@ -39,12 +46,27 @@ def ragged(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(at[rows] - to[:-1], size) + np.arange(to[-1]), to
 
 
+def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.StringArray:
+    """These parts of UTF-8 bytes as a string array."""
+    size = ends - starts
+    to = np.concatenate([[0], np.cumsum(size)])
+    flat = data[np.repeat(starts - to[:-1], size) + np.arange(to[-1])]
+    return pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(flat)])
+
+
+def lots(words: pa.StringArray, between: str, size: int = 1024) -> list[str]:
+    """The words, so many in a text, with what stands between them."""
+    at = np.append(np.arange(0, len(words), size), len(words)).astype(np.int32)
+    return pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(at), words), between).to_pylist()
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer file.
 
     White space parts words for the usual word-BPE file, and neither normalizing, splitting nor merging looks across it.
-    So the library encodes each different word of a column (compared byte by byte) once, just as it stands, and texts are
-    put together from their words' ids; tests hold this against encoding whole texts. Files of another kind, and words
+    So the library encodes each different word of a column once, and texts are put together from their words' ids; tests
+    hold this against encoding whole texts. Words of letters, and the marks behind them, are encoded apart, as the
+    splitting pattern parts them; such words go without the normalizer, in small letters. Files of another kind, and words
     that hold the mark, are encoded as they are.
     """
 
@@ -62,38 +84,68 @@ class Encoder:
         mark = self.library.encode(MARK, add_special_tokens=False).ids
         self.by_words = usual and len(mark) == 1 and not any(set(t["content"]) & set(" \t\n\v\f\r") for t in spec["added_tokens"])
         self.mark = mark[0]
+        # for words of small letters alone, which the normalizer leaves as they are and the pattern as one piece
+        bare = spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, steps[-1]]}}
+        self.plain = Tokenizer.from_str(json.dumps(bare)) if self.by_words else None
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for s, i in vocabulary.items() if s.endswith(WORD_END)]] = True
 
-    def _texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _texts(self, texts: list[str], library: object = None) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(x.ids, np.uint32) for x in (library or self.library).encode_batch_fast(texts, add_special_tokens=False)]
         at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
         return np.concatenate(ids or [np.zeros(0, np.uint32)]), at
 
-    def _lots(self, words: list[str], between: str) -> np.ndarray:
-        """Ids of words in lots, each word followed by what stands between."""
-        return self._texts([between.join(words[i : i + 1024]) + between for i in range(0, len(words), 1024)])[0]
+    def _parts(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """How many bytes of letters each word begins with, and whether other ASCII marks alone follow them (or nothing).
+
+        Letters are A-Z and those of U+00C0 to U+00FF, none of which a normal form changes; the apostrophe is no mark
+        here, since the pattern joins letters to it."""
+        raw, at = buffers(words)
+        letter = LETTER_BYTE[raw]
+        lead = raw == 0xC3
+        letter[1:][lead[:-1]] = ~np.isin(raw[1:][lead[:-1]], (0x97, 0xB7))  # the signs of times and division
+        letter[:-1][lead[:-1]] &= letter[1:][lead[:-1]]
+        begin, end = at[:-1], at[1:]
+        before = np.concatenate([[0], np.cumsum(letter)])
+        marks = np.concatenate([[0], np.cumsum(MARK_BYTE[raw])])
+        again = np.concatenate([[False], letter[1:] & ~letter[:-1], [False]])
+        again[begin] = False  # a word's first letter
+        turns = np.concatenate([[0], np.cumsum(again[:-1])])
+        size = before[end] - before[begin]
+        simple = (size > 0) & letter[np.minimum(begin, max(len(raw) - 1, 0))] & (size + marks[end] - marks[begin] == end - begin) & (turns[end] == turns[begin])
+        return size, simple
 
     def _words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each word: of letters alone (one piece, so one id that ends a word), with the mark, and all others."""
-        flag = lambda x: x.to_numpy(zero_copy_only=False).astype(bool)
-        plain = flag(pa.compute.match_substring_regex(words, "^[A-Za-z]+$"))
-        odd = flag(pa.compute.match_substring(words, MARK))
-        of = lambda some: words.filter(pa.array(some)).to_pylist()
-        letters = self._lots(of(plain), " ")
+        """Ids of each word. Letters at its head (one piece, so one id that ends it) and the marks that follow are two
+        items; any other word is one. Each different item is encoded once."""
+        raw, at = buffers(words)
+        size, simple = self._parts(words)
+        odd = pa.compute.match_substring(words, MARK).to_numpy(zero_copy_only=False).astype(bool)
+        low = SMALL[raw]
+        low[1:][(raw[:-1] == 0xC3) & (raw[1:] < 0x9F)] += 0x20
+        mid = at[:-1] + size
+        heads = strings(low, at[:-1][simple], mid[simple]).dictionary_encode()
+        tailed = simple & (mid < at[1:])
+        rest = np.where(tailed, mid, at[:-1])
+        others_of = ~simple & ~odd | tailed
+        others = strings(raw, rest[others_of], at[1:][others_of]).dictionary_encode()
+        letters = self._texts(lots(heads.dictionary, " "), self.plain)[0]
         letters_at = np.concatenate([[0], np.flatnonzero(self.ends[letters]) + 1])
-        others = self._lots(of(~plain & ~odd), f" {MARK} ")
-        marks = np.flatnonzero(others == self.mark)
-        others, others_at = np.delete(others, marks), np.concatenate([[0], marks - np.arange(len(marks))])
-        whole, whole_at = self._texts(of(odd))
-        assert len(letters_at) == plain.sum() + 1 and len(others_at) == (~plain & ~odd).sum() + 1, "a word's ids were not told apart"
-        ids = np.concatenate([letters, others, whole])
-        at = np.concatenate([letters_at, others_at[1:] + len(letters), whole_at[1:] + len(letters) + len(others)])
-        place = np.argsort(np.where(plain, 0, np.where(odd, 2, 1)), kind="stable")
-        row = np.empty(len(words), np.int64)
-        row[place] = np.arange(len(words))
-        flat, to = ragged(at, row)
-        return ids[flat], to
+        other = self._texts([f"{x} {MARK} " for x in lots(others.dictionary, f" {MARK} ")])[0]
+        marks = np.flatnonzero(other == self.mark)
+        other, other_at = np.delete(other, marks), np.concatenate([[0], marks - np.arange(len(marks))])
+        whole, whole_at = self._texts(words.filter(pa.array(odd)).to_pylist())
+        h, o = len(heads.dictionary), len(others.dictionary)
+        assert len(letters_at) == h + 1 and len(other_at) == o + 1, "a word's ids were not told apart"
+        ids = np.concatenate([letters, other, whole])
+        at = np.concatenate([letters_at, other_at[1:] + len(letters), whole_at[1:] + len(letters) + len(other)])
+        items = np.full((len(words), 2), -1, np.int64)
+        items[simple, 0] = heads.indices.to_numpy()
+        items[odd & ~simple, 0] = h + o + np.arange((odd & ~simple).sum())
+        items[others_of, 1] = h + others.indices.to_numpy()
+        every = items.ravel()
+        flat, to = ragged(at, every[every >= 0])
+        return ids[flat], to[np.concatenate([[0], np.cumsum((items >= 0).sum(axis=1))])]
 
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each text and its end id, one text after another, and where each text's begin (and the end)."""
@@ -158,7 +210,7 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, root: str, *, en
             mask = pa.FixedSizeListArray.from_arrays(pa.array(np.arange(len(ids)) < real), length)
             sequences.write_batch(pa.RecordBatch.from_arrays([lists.cast(_schema(kind, length).field("ids").type), mask.cast(_schema(kind, length).field("mask").type)], schema=_schema(kind, length)))
 
-        for batch in batches:
+        for batch in filled(batches, "text", PIECE):
             for part in pieces(batch, "text", PIECE):
                 if sequences is None:
                     sequences = pa.ipc.new_file(f1 := fs.open_output_stream(f"{mine}-ids"), _schema(kind, length))

@@ -80,6 +80,22 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator
         i = min(j, n)
 
 
+def filled(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batches, small ones put together until they hold about limit bytes of text."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        more = int(buffers(batch.column(batch.schema.get_field_index(column)))[1][-1])
+        if held and size + more > limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += more
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def words(column: pa.Array, prefixes: tuple[int, ...] = ()) -> Words:
     """Words of a string column; prefixes: also hash the first so many bytes, eight at most, of each word (0 where a word is
     shorter)."""
