@@ -412,8 +412,3 @@ def adjustments(shared: dict[str, float], year_now: int, least: float = 0.5) ->
     each = F.array(*[F.struct(F.lit(t).alias("term"), F.round((F.exp(F.lit(shared[t]) * x[t]) - 1) * 100, 4).alias("percent")) for t in TERMS])
     shown = F.filter(each, lambda e: F.abs(e["percent"]) >= least)
     return F.array_sort(shown, lambda a, b: F.when(F.abs(a["percent"]) > F.abs(b["percent"]), -1).when(F.abs(a["percent"]) < F.abs(b["percent"]), 1).when(a["term"] < b["term"], -1).otherwise(1))
-
-
-def gauge(gap: Column, edge: float = 20.0) -> Column:
-    """Where a gap stands on a gauge from -edge to edge: 0 to 1, held at the ends."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (gap.cast("double") + edge) / (2 * edge)))

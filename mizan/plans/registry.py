@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mizan.plans import document_queries, event_queries, reading_queries, search_queries, valuation_queries
 
+MODULES = (search_queries, event_queries, valuation_queries, reading_queries, document_queries)
 FLAGSHIP = "qry01_search_page"
 
 
@@ -17,7 +18,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
-    return search_queries.QUERIES | event_queries.QUERIES | valuation_queries.QUERIES | reading_queries.QUERIES | document_queries.QUERIES
+    out: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+    for module in MODULES:
+        if twice := out.keys() & module.QUERIES.keys():
+            raise ValueError(f"registered twice: {sorted(twice)}")
+        out |= module.QUERIES
+    return out
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

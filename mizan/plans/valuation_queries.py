@@ -131,10 +131,6 @@ QUERIES = {
         lambda s, d: learnt(s, d).select("listing_id", F.explode(V.adjustments(EFFECTS, YEAR_NOW)).alias("a")).select("listing_id", "a.term", "a.percent"),
         COMPARABLES_SQL + ", e AS (" + " UNION ALL ".join(f"SELECT listing_id, '{k}' AS term, round((exp({EFFECTS[k]} * CAST(({v}) AS DOUBLE)) - 1) * 100, 4) AS percent FROM comparables" for k, v in FEATURES_SQL.items() if k != "day") + ") SELECT * FROM e WHERE abs(percent) >= 0.5",
     ),
-    "prj17_gauge": (
-        lambda s, d: ratings(s, d).filter("price_gap is not null").select("listing_id", F.round(V.gauge(F.col("price_gap")), 6).alias("place")),
-        f"WITH x AS ({RATINGS_SQL}) SELECT listing_id, round(greatest(0, least(1, (price_gap + 20) / 40)), 6) AS place FROM x WHERE price_gap IS NOT NULL",
-    ),
     "val09_fitted": (fitted, None),
     "val08_learnt_segments": (learnt_segments, None),
     "val15_time_split": (lambda s, d: V.time_split(learnt(s, d), F.lit("2000-06-01").cast("date"), F.lit(AS_OF).cast("date"), YEAR_NOW), None),

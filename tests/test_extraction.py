@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mizan.functions import calendar as C
 from mizan.functions import extraction as X
+from mizan.functions.wording import mileage_wording
 
 
 def one(spark, value, *args):
@@ -33,10 +34,17 @@ def test_reads(spark):
 
 
 def test_wordings(spark):
-    cases = [("صفر خشک", 0, "really_low"), ("۴۴۰ کیلومتر کار", 440, "really_low"), ("۷۳ هزار کیلومتر", 73, "thousands_text"), ("کارکرد 73,000", 73, "thousands_text"), ("۱۰۰ هزار تومان تخفیف", 100, None), ("تعویض روغن 5000 کیلومتر", 73, None), ("صفر خشک، 73 هزار", 73, None)]
-    for text, n, want in cases:
-        got = one(spark, X.mileage_wording, text, n)
-        assert (got and got["reading"]) == want, text
+    cases = [
+        ("خودروی صفر، پلاک نشده", 3, "really_low", "خودروی صفر"), ("فروش: 610 کیلو متر", 610, "really_low", "610 کیلومتر"), ("۲۵ دونه کارکرد دارد", 25, "really_low", "25 دونه کارکرد"),
+        ("کار کرده 40 دانه", 40, "really_low", "کارکرده 40 دانه"), ("88 کارکرد حقیقی", 88, "really_low", "88 کارکرد حقیقی"), ("12 km راه رفته", 12, "really_low", "12 km راه رفته"),
+        ("با 95هزار کارکرد", 95, "thousands_text", "95 هزار"), ("۱۸۰ تا انداخته", 180, "thousands_text", "180 تا انداخته"), ("کیلومتر: 64٬000", 64, "thousands_text", "کیلومتر 64000"), ("64.000 کیلو", 64, "thousands_text", "64000 کیلو"), ("64 000 کیلومتر", 64, "thousands_text", "64 000 کیلومتر"),
+        ("64,000 تومان", 64, None, None), ("95 هزار ریال", 95, None, None), ("1640 کیلومتر", 640, None, None), ("موتور صفر و در حد صفر", 7, None, None), ("صفر خشک 95 هزار", 95, None, None),
+        ("0 هزار", 0, None, None), ("صفر کیلومتر", 0, "really_low", "صفر کیلومتر"), ("", 5, None, None), (None, 5, None, None), ("بدون کارکرد", None, "really_low", "بدون کارکرد"), ("سفر " * 3_000 + "9 کیلومتر", 9, "really_low", "9 کیلومتر"),
+    ]
+    rows = spark.createDataFrame([(i, t, n) for i, (t, n, _, _) in enumerate(cases)], "i int, t string, n int")
+    got = {r.i: r.v for r in rows.select("i", mileage_wording(F.col("t"), F.col("n")).alias("v")).collect()}
+    for i, (text, _, reading, wording) in enumerate(cases):
+        assert (got[i] and tuple(got[i])) == (reading and (reading, wording)), text
 
 
 def test_calendar(spark):
