@@ -15,10 +15,13 @@ from mizan.llm.common import Scratch, read
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learnt from the labels of these documents, does not reject. Null and empty
-    texts are scored like any other."""
+    texts are scored like any other; every column comes back as it was, whatever its name."""
     labels = read(spark, sf_dir, "labels").filter(~toxicity.in_fold("doc_id", 4, 2)).select("doc_id", F.col("toxic").alias("label"))
     model = toxicity.fit(spark, docs, labels)
-    return model.score(docs, *docs.columns).filter(F.col("score") < toxicity.REJECT).select(*docs.columns)
+    name = "score"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return model.score(docs, *docs.columns, name=name).filter(F.col(name) < toxicity.REJECT).drop(name)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -211,16 +211,20 @@ class Model:
     curve: object | None
     prior: float
 
-    def score(self, docs: DataFrame, *keep: str) -> DataFrame:
-        """The kept columns and score."""
+    def score(self, docs: DataFrame, *keep: str, name: str = "score") -> DataFrame:
+        """The kept columns as they are, whatever their names, and the score under a name that is none of theirs."""
+        assert name.lower() not in {c.lower() for c in keep}, f"{name} is a kept column"
+        own = [f"kept{i}" for i in range(len(keep))]  # so none of the model's own columns meets the caller's
+        base = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in zip(own, keep, strict=True)], F.col("text"))
+        known = features(base, self.lexicon, *own)
+        back = [F.col(k).alias(c) for k, c in zip(own, keep, strict=True)]
         if self.trees is None:
-            known = features(docs, self.lexicon, *keep)
             rate = vector_to_array("features")[FEATURES.index("hit_rate")]
-            return known.withColumn("score", F.greatest(F.lit(self.prior) * 0.2, 1 - F.exp(-100.0 * rate))).drop("features")
-        raw = self.trees.transform(features(docs, self.lexicon, *keep)).withColumn("p", vector_to_array("probability")[1])
+            return known.select(*back, F.greatest(F.lit(self.prior) * 0.2, 1 - F.exp(-100.0 * rate)).alias(name))
+        raw = self.trees.transform(known).withColumn("p", vector_to_array("probability")[1])
         even = self.curve.transform(raw.drop("features", "prediction")).withColumnRenamed("prediction", "even")
         # the curve has flat parts; a thousandth of the trees' own order breaks ties within them
-        return even.select(*keep, F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.999 * F.col("even") + 0.001 * F.col("p"))).alias("score"))
+        return even.select(*back, F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.999 * F.col("even") + 0.001 * F.col("p"))).alias(name))
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, rounds: int = 20, depth: int = 4, least: int = 40) -> Model:
