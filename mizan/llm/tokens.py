@@ -22,7 +22,7 @@ from mizan.llm.words import IS_SPACE, boundaries, buffers, filled, pieces
 #: Ids of a sequence, and sequences of a record batch.
 LENGTH, BATCH = 2048, 64
 #: Bytes of text whose different words are encoded together.
-PIECE = 8 << 20
+PIECE = 4 << 20
 
 #: The tokenizer file's normalizer and splitting pattern with which a text's ids are those of its words.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -91,7 +91,9 @@ class Encoder:
         self.ends[[i for s, i in vocabulary.items() if s.endswith(WORD_END)]] = True
 
     def _texts(self, texts: list[str], library: object = None) -> tuple[np.ndarray, np.ndarray]:
-        ids = [np.array(x.ids, np.uint32) for x in (library or self.library).encode_batch_fast(texts, add_special_tokens=False)]
+        code = library or self.library
+        # a few texts at once: the library's own encodings take far more room than ids
+        ids = [np.array(x.ids, np.uint32) for i in range(0, len(texts), 8) for x in code.encode_batch_fast(texts[i : i + 8], add_special_tokens=False)]
         at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
         return np.concatenate(ids or [np.zeros(0, np.uint32)]), at
 
