@@ -22,7 +22,7 @@ from mizan.llm.words import IS_SPACE, boundaries, buffers, filled, pieces
 #: Ids of a sequence, and sequences of a record batch.
 LENGTH, BATCH = 2048, 64
 #: Bytes of text whose different words are encoded together.
-PIECE = 4 << 20
+PIECE = 2 << 20
 
 #: The tokenizer file's normalizer and splitting pattern with which a text's ids are those of its words.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -43,7 +43,9 @@ def ragged(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the items of rows stand in a list column that begins at at, and where each row's begin in the result."""
     size = at[rows + 1] - at[rows]
     to = np.concatenate([[0], np.cumsum(size)])
-    return np.repeat(at[rows] - to[:-1], size) + np.arange(to[-1]), to
+    flat = np.repeat((at[rows] - to[:-1]).astype(np.int32), size)  # a piece has far fewer than 2**31 items
+    flat += np.arange(to[-1], dtype=np.int32)
+    return flat, to
 
 
 def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.StringArray:
@@ -71,24 +73,22 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        vocabulary = self.library.get_vocab(with_added_tokens=True)
-        self.size = max(vocabulary.values()) + 1
-        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        usual = spec["normalizer"] == NORMALIZER and len(steps) == 2 and steps[0].get("pattern") == {"Regex": PATTERN}
-        usual = usual and steps[1]["type"] == "ByteLevel" and not steps[1]["use_regex"] and spec["model"].get("end_of_word_suffix") == WORD_END
+        part = lambda x: json.loads(x.__getstate__()) if x else None
+        steps = (part(self.library.pre_tokenizer) or {}).get("pretokenizers", [])
+        usual = part(self.library.normalizer) == NORMALIZER and len(steps) == 2 and steps[0].get("pattern") == {"Regex": PATTERN}
+        usual = usual and steps[1]["type"] == "ByteLevel" and not steps[1]["use_regex"] and self.library.model.end_of_word_suffix == WORD_END
+        added = self.library.get_added_tokens_decoder()
+        self.size = max(self.library.get_vocab_size(), max(added, default=-1) + 1)
         mark = self.library.encode(MARK, add_special_tokens=False).ids
-        self.by_words = usual and len(mark) == 1 and not any(set(t["content"]) & set(" \t\n\v\f\r") for t in spec["added_tokens"])
-        self.mark = mark[0]
-        # for words of small letters alone, which the normalizer leaves as they are and the pattern as one piece
-        bare = spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, steps[-1]]}}
-        self.plain = Tokenizer.from_str(json.dumps(bare)) if self.by_words else None
-        self.ends = np.zeros(self.size, bool)
-        self.ends[[i for s, i in vocabulary.items() if s.endswith(WORD_END)]] = True
+        self.by_words = usual and len(mark) == 1 and not any(set(t.content) & set(" \t\n\v\f\r") for t in added.values())
+        self.mark = mark[0] if mark else -1
+        self.ends = np.array([(self.library.id_to_token(i) or "").endswith(WORD_END) for i in range(self.size)], bool)
+        # the same model for words of small letters alone, which the normalizer leaves as they are and the pattern as one piece
+        self.plain = Tokenizer(self.library.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def _texts(self, texts: list[str], library: object = None) -> tuple[np.ndarray, np.ndarray]:
         code = library or self.library
