@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mizan.session import cut
+
 
 def median(column: str | Column) -> Column:
     return F.percentile(column, 0.5)
@@ -70,11 +72,11 @@ def agreed(models: DataFrame, trims: DataFrame) -> DataFrame:
     return models.filter("volume is not null").join(against.distinct(), "model_key", "left_anti")
 
 
-def longest_prefix(keys: DataFrame, names: DataFrame, most: int = 6) -> DataFrame:
-    """(key, name): the longest of names(name) that is the key's first dotted parts. Every key offers its prefixes, so
-    the match is an equi-join; most: parts that a key can have at most."""
+def longest_prefix(keys: DataFrame, names: DataFrame) -> DataFrame:
+    """(key, name): the longest of names(name) that is the key's first dotted parts. Every key offers all its prefixes, so
+    the match is an equi-join."""
     parts = F.split("key", "\\.")
-    offered = keys.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(most))), lambda i: F.array_join(F.slice(parts, 1, i), "."))).alias("name"))
+    offered = keys.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "."))).alias("name"))
     best = offered.join(names.select("name").distinct(), "name").groupBy("key").agg(F.max_by("name", F.length("name")).alias("name"))
     return keys.select("key").join(best, "key", "left")
 
@@ -182,15 +184,19 @@ def aliases(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(value)), " ").alias("words"))
 
 
-def chunk_bounds(rows: DataFrame, key: str, every: int) -> DataFrame:
-    """The first key of every lot of `every` rows in ascending order.
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n): places from 1 in ascending key order, equal keys in any order among themselves.
 
-    Ranges are numbered by their sizes: keys are range-partitioned and sorted, a row's number is its place in its
-    partition plus the rows of the partitions before; so no single task numbers all rows.
-    """
-    placed = rows.select(key).repartitionByRange(key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id())
-    placed = placed.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(key)))
+    Keys are range-partitioned and sorted, and written with their range; a row's number is its place in its range plus the
+    rows of the ranges before. Counting and numbering read what was written, so both see the same ranges, and no task
+    numbers more than one."""
+    placed = cut(rows.select(key).repartitionByRange(key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id()))
+    within = placed.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(key)))
     sizes = placed.groupBy("__p").agg(F.count("*").alias("__n"))
     ahead = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    # one row a partition
-    return placed.join(F.broadcast(ahead), "__p").withColumn("n", F.col("__i") + F.col("__before")).filter(F.col("n") % every == 1).select(key, "n")
+    return within.join(F.broadcast(ahead), "__p").select(key, (F.col("__i") + F.col("__before")).alias("n"))  # one row a range
+
+
+def chunk_bounds(rows: DataFrame, key: str, every: int) -> DataFrame:
+    """The first key of every lot of `every` rows in ascending order."""
+    return numbered(rows, key).filter(F.col("n") % every == 1)

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mizan.operators.events import tehran_day
-from mizan.operators.market import first_of_reposts, price_outliers
+from mizan.operators.document import lcg_share
+from mizan.operators.market import first_of_reposts, numbered, price_outliers
 from mizan.session import cut
 
 #: Fixed values of the method.
@@ -382,15 +383,6 @@ def scores(rows: DataFrame, value: Column) -> DataFrame:
         F.grouping("model_id").cast("int").alias("is_total"), F.count("*").alias("tested"), F.round(F.percentile("__e", 0.5), 2).alias("mdape"), F.round(F.avg((F.col("__e") <= 10).cast("double")) * 100, 2).alias("within10"))
 
 
-def seeded_split(n: int, seed: int = 51, share: float = 0.8) -> list[bool]:
-    """Which of n rows in order are learnt from: a linear congruential sequence, state by state."""
-    out, state = [], seed & 0xFFFFFFFF
-    for _ in range(n):
-        state = (state * 1664525 + 1013904223) & 0xFFFFFFFF
-        out.append(state / 2**32 < share)
-    return out
-
-
 def split_scores(learn: DataFrame, test: DataFrame, year_now: int) -> DataFrame:
     """scores() of test rows under a fit of learn, where their model rates and three learnt rows lie within two years."""
     done = valuation(learn, year_now)
@@ -406,6 +398,14 @@ def time_split(rows: DataFrame, cut: Column, as_of: Column, year_now: int) -> Da
     return split_scores(based.filter(F.col("__day") < cut).drop("__day"), based.filter(F.col("__day") >= cut).drop("__day"), year_now)
 
 
+def random_split(rows: DataFrame, year_now: int, seed: int = 51, share: float = 0.8) -> DataFrame:
+    """Learns from the rows that a seeded linear congruential sequence picks, row by row in the order of their ids, and
+    scores the others. A row's number comes from counts of ranges, and its state of the sequence from its number."""
+    places = numbered(rows, "listing_id").withColumn("__learn", lcg_share(F.col("n"), seed) < share)
+    both = cut(rows.join(places.drop("n"), "listing_id"))
+    return split_scores(both.filter("__learn").drop("__learn"), both.filter("not __learn").drop("__learn"), year_now)
+
+
 def adjustments(shared: dict[str, float], year_now: int, least: float = 0.5) -> Column:
     """Each effect's size on a listing's price in percent, largest first; those under half a percent are not shown."""
     x = features(year_now, day=False)

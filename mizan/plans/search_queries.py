@@ -204,6 +204,10 @@ SELECT listing_id, model_id, model_year, asking_price, round(near_median, 4) AS
         LISTINGS_SQL + "SELECT source_id, model_key, model_year, listing_id FROM listings WHERE asking_price IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_id, model_key, model_year ORDER BY listed_at, listing_id) = 1",
     ),
     "join11_latest": (lambda s, d: M.latest(listings(s, d), "model_id", "last_seen_at", "listing_id"), LISTINGS_SQL + "SELECT model_id, listing_id FROM listings QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY last_seen_at DESC, listing_id DESC) = 1"),
+    "join17_deep_prefix": (
+        lambda s, d: M.longest_prefix(listings(s, d).select(F.concat_ws(".", "trim_key", "fuel", "gearbox", "accident", "city", F.lit("x"), F.lit("y")).alias("key")).distinct(), listings(s, d).filter("gearbox = 'O'").select(F.concat_ws(".", "trim_key", "fuel", "gearbox", "accident", "city", F.lit("x")).alias("name"))),
+        LISTINGS_SQL + ", k AS (SELECT DISTINCT concat_ws('.', trim_key, fuel, gearbox, accident, city, 'x') AS b, gearbox FROM listings) SELECT b || '.y' AS key, CASE WHEN bool_or(gearbox = 'O') THEN b END AS name FROM k GROUP BY b",
+    ),
     "join17_longest_prefix": (
         lambda s, d: M.longest_prefix(listings(s, d).select(F.col("trim_key").alias("key")).distinct(), listings(s, d).filter("model_key like '%PROMO'").select(F.col("model_key").alias("name")).union(listings(s, d).select("make_key"))),
         LISTINGS_SQL + "SELECT DISTINCT trim_key AS key, CASE WHEN body_type = 'PROMO' THEN model_key ELSE make_key END AS name FROM listings",
@@ -234,5 +238,8 @@ SELECT listing_id, model_id, model_year, asking_price, round(near_median, 4) AS
     "agg10_aliases": (lambda s, d: M.aliases(listings(s, d), "make_key", "body_type"), LISTINGS_SQL + "SELECT make_key, string_agg(DISTINCT body_type, ' ' ORDER BY body_type) AS words FROM listings GROUP BY 1"),
     "src02_chunk_bounds": (lambda s, d: M.chunk_bounds(listings(s, d), "listing_id", 1000), LISTINGS_SQL + ", n AS (SELECT listing_id, row_number() OVER (ORDER BY listing_id) AS n FROM listings) SELECT listing_id, n FROM n WHERE n % 1000 = 1"),
     "prd17_semi": (lambda s, d: table(s, d, "customer").join(table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").groupBy("c_mktsegment").agg(F.count("*").alias("n")), "SELECT c_mktsegment, count(*) AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY 1"),
-    "join14_anti": (lambda s, d: table(s, d, "customer").join(table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("n")), "SELECT c_mktsegment, count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY 1"),
+    "join14_anti": (
+        lambda s, d: table(s, d, "customer").join(table(s, d, "orders").filter("o_orderdate >= '1997-01-01' and o_orderdate < '1998-01-01'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("n")),
+        "SELECT c_mktsegment, count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= '1997-01-01' AND o_orderdate < '1998-01-01') GROUP BY 1",
+    ),
 }

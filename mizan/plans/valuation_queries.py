@@ -6,12 +6,25 @@ from pyspark.sql import functions as F
 
 from mizan.operators import valuation as V
 from mizan.plans.listing import LISTINGS_SQL, YEAR_NOW, listings
+from mizan.session import cut
 
 AS_OF = "2001-11-05"
+#: A time split's cut and the day it is made as of: the market's trend is carried forward over the days between.
+SPLIT = ("2000-06-17", "2000-07-01")
+#: An order's key and a price's cents, out of a listing's id.
+_K, _C = "CAST(split_part(listing_id, '-', 1) AS BIGINT)", "CAST(split_part(listing_id, '-', 5) AS BIGINT)"
+_AGE = f"greatest({YEAR_NOW} - coalesce(model_year, 1997), 0)"
+#: The price that a car of a model and an age is worth, and what an asking price differs from it by: mileage, gearbox, and
+#: a tenth at random, eight tenths for some makes; every 53rd is five times as dear.
+_LEVEL = "(12000 + 1500 * (length({model}) % 9))"
+_NOISE = f"(({_C} % 1009) / 1009.0e0 - 0.5e0) * CASE WHEN right(make_key, 1) = '3' THEN 1.6e0 ELSE 0.24e0 END"
+_PRICE = f"CAST(round({_LEVEL.format(model='model_key')} * power(0.93e0, {_AGE}) * exp(-0.08e0 * (coalesce(mileage_km, 60000) - 20000 * greatest({_AGE}, 0.5e0)) / 100000 + CASE WHEN gearbox = 'O' THEN 0.02e0 ELSE 0 END) * (1 + {_NOISE}) * CASE WHEN {_K} % 53 = 0 THEN 5 WHEN photo_count = 5 AND {_K} % 3 = 0 THEN 0.7e0 ELSE 1 END) AS BIGINT)"
 #: What the listing view lacks for a valuation, as expressions that Spark and DuckDB read alike.
 MARKET = {
-    "listing_id": "listing_id", "source_id": "source_id", "model_id": "model_key", "trim_id": "trim_key", "model_year": "model_year",
-    "mileage_km": "CASE WHEN photo_count = 7 THEN 500 ELSE mileage_km END", "price_type": "price_type", "asking_price": "asking_price",
+    "listing_id": "listing_id", "source_id": "source_id", "trim_id": "trim_key",
+    "model_id": f"CASE WHEN {_K} % 61 = 0 THEN NULL WHEN {_K} % 67 = 0 THEN 'rare.' || CAST(length(district) % 5 AS VARCHAR(9)) || '.' || city ELSE model_key END", "model_year": f"CASE WHEN {_K} % 71 = 0 THEN model_year - 40 ELSE model_year END",
+    "mileage_km": "CASE WHEN photo_count = 6 THEN 500 ELSE mileage_km END", 
+    "price_type": f"CASE WHEN {_K} % 41 = 0 THEN NULL WHEN {_K} % 43 = 0 THEN 'placeholder' WHEN {_K} % 47 = 0 THEN 'installment' ELSE price_type END", "asking_price": f"CASE WHEN asking_price IS NOT NULL THEN {_PRICE} END",
     "gearbox": "CASE gearbox WHEN 'F' THEN 'manual' WHEN 'O' THEN 'automatic' END",
     "fuel": "CASE fuel WHEN 'N' THEN 'petrol' WHEN 'R' THEN 'hybrid' ELSE 'dual_fuel_aftermarket' END",
     "body_condition": "CASE photo_count WHEN 0 THEN 'intact' WHEN 1 THEN 'minor_scratches' WHEN 2 THEN 'partly_repainted' WHEN 3 THEN 'repainted_around' WHEN 4 THEN 'fully_repainted' END",
@@ -33,17 +46,22 @@ FEATURES_SQL = {
     "chassis_repainted": "coalesce(front_chassis = 'repainted', false) OR coalesce(rear_chassis = 'repainted', false)", "gearbox_automatic": "gearbox = 'automatic'", "dual_fuel_aftermarket": "fuel = 'dual_fuel_aftermarket'",
     "electrified": "fuel IN ('hybrid', 'plug_in_hybrid', 'electric')", "off_colour": "coalesce(colour_family NOT IN ('white', 'black', 'silver', 'grey'), false)", "day": "-least(days_before, 30)",
 }
-#: Values for queries that are held against SQL: no fit, a line in the model year.
-VALUE = f"40000 + 3000 * (model_year - {YEAR_NOW - 3})"
+#: Values for queries that are held against SQL: no fit, what a model's car of a year is worth on the whole.
+VALUE = f"round({_LEVEL.format(model='model_id')} * power(0.93e0, greatest({YEAR_NOW} - model_year, 0)))"
 EFFECTS = dict(zip(V.TERMS, (-0.05, -0.1, 0.06, -0.02, -0.06, -0.12, -0.06, 0.1, -0.04, 0.15, -0.05, 0.0), strict=True))
 
 
 def market(s, d):
-    return listings(s, d).selectExpr(*[f"{v} AS {k}" for k, v in MARKET.items()])
+    """The view as a written table: several steps read it, and its expressions are long."""
+    return cut(listings(s, d).selectExpr(*[f"{v} AS {k}" for k, v in MARKET.items()]))
+
+
+def comparables(rows):
+    return V.comparables(rows, F.lit(AS_OF).cast("date"))
 
 
 def learnt(s, d):
-    return V.comparables(market(s, d), F.lit(AS_OF).cast("date"))
+    return comparables(market(s, d))
 
 
 def feature_rows(s, d):
@@ -51,13 +69,17 @@ def feature_rows(s, d):
     return learnt(s, d).select("listing_id", *[F.round(c, 6).alias(k) for k, c in x.items()])
 
 
-def marked(s, d):
-    return V.price_outliers(learnt(s, d), factor=1.6)
+def rating_parts(s, d):
+    """The market, its comparables, and those marked as outliers."""
+    rows = market(s, d)
+    some = cut(comparables(rows))
+    return rows, some, V.price_outliers(some, factor=1.6)
 
 
 def ratings(s, d):
-    some = market(s, d).withColumn("ln_value", F.log(F.expr(VALUE).cast("double")))
-    out = V.rated(some, V.segments(learnt(s, d), F.expr(VALUE).cast("double")), marked(s, d).select("listing_id", "model_id", "model_year", "is_outlier"))
+    rows, some, marked = rating_parts(s, d)
+    valued = rows.withColumn("ln_value", F.log(F.expr(VALUE).cast("double")))
+    out = V.rated(valued, V.segments(some, F.expr(VALUE).cast("double")), marked.select("listing_id", "model_id", "model_year", "is_outlier"))
     return out.select("listing_id", "market_value", F.col("price_gap").cast("double").alias("price_gap"), "rating", "reason")
 
 
@@ -72,7 +94,7 @@ RATINGS_SQL = COMPARABLES_SQL + SEGMENTS_SQL + MARKED_SQL + f""", l AS (SELECT m
   CASE WHEN m.model_id IS NULL THEN 'unmatched_model' WHEN price_type IS NULL THEN 'unknown_price' WHEN m.model_year IS NULL OR mileage_km IS NULL OR gearbox IS NULL THEN 'missing_attributes' WHEN {BAD_SQL} THEN 'excluded_condition' END AS unvalued
  FROM market m LEFT JOIN rating_segments s USING (model_id) LEFT JOIN (SELECT listing_id, is_outlier FROM marked) o ON o.listing_id = m.listing_id),
 u AS (SELECT *, coalesce(unvalued, CASE WHEN v IS NULL OR comparables IS NULL OR comparables < 8 THEN 'too_few_comparables' WHEN NOT rates THEN 'uncertain_segment' WHEN near < 3 OR CASE WHEN mileage_km < 1000 THEN zero_km ELSE comparables - zero_km END < 1 THEN 'year_out_of_range' END) AS unrated FROM l),
-p AS (SELECT *, coalesce(unrated, CASE WHEN price_type = 'negotiable' THEN 'no_asking_price' WHEN seller_type = 'dealer' AND mileage_km < 1000 THEN 'dealer_new_car' WHEN is_outlier OR NOT asking_price BETWEEN v / 3.0 AND v * 3.0 THEN 'price_outlier' END) AS why FROM u),
+p AS (SELECT *, coalesce(unrated, CASE WHEN price_type = 'negotiable' THEN 'no_asking_price' WHEN price_type = 'placeholder' THEN 'placeholder_price' WHEN price_type = 'installment' THEN 'installment_price' WHEN seller_type = 'dealer' AND mileage_km < 1000 THEN 'dealer_new_car' WHEN is_outlier OR NOT asking_price BETWEEN v / 3.0 AND v * 3.0 THEN 'price_outlier' END) AS why FROM u),
 g AS (SELECT *, CASE WHEN why IS NULL THEN round(CAST((asking_price - v) * 100.0 / v AS DECIMAL(18,6)), 2) END AS gap FROM p),
 f AS (SELECT *, coalesce(why, CASE WHEN accepts_installments AND gap <= -20 THEN 'installment_price' END) AS reason FROM g)
 SELECT listing_id, CASE WHEN unrated IS NULL THEN CAST(v AS BIGINT) END AS market_value, CAST(CASE WHEN reason IS NULL THEN gap END AS DOUBLE) AS price_gap,
@@ -97,20 +119,26 @@ SELECT listing_id, least(round(asking_price / exp(b), 3), 9999.0) AS price_ratio
 
 
 def fitted(s, d):
-    done = V.valuation(learnt(s, d), YEAR_NOW)
+    done = V.valuation(cut(learnt(s, d)), YEAR_NOW)
     return done.comparables.select("listing_id", "model_id", "model_year", "asking_price", "fitted", "is_outlier")
 
 
 def whole_run(s, d):
     """Comparables, fit and segments of a day, and from them every listing's rating."""
-    done = V.valuation(learnt(s, d), YEAR_NOW)
-    some = done.fit.predicted(market(s, d), YEAR_NOW, day=False)
+    rows = market(s, d)
+    done = V.valuation(cut(comparables(rows)), YEAR_NOW)
+    some = done.fit.predicted(rows, YEAR_NOW, day=False)
     out = V.rated(some, done.segments, done.comparables.select("listing_id", "model_id", "model_year", "is_outlier"))
     return out.select("listing_id", "market_value", F.col("price_gap").cast("double").alias("price_gap"), "rating", "reason")
 
 
+def ratings_counted(s, d):
+    """How many listings each reason and each rating has."""
+    return ratings(s, d).groupBy("reason", "rating").agg(F.count("*").alias("n"), F.count("market_value").alias("valued"))
+
+
 def learnt_segments(s, d):
-    return V.valuation(learnt(s, d), YEAR_NOW).segments
+    return V.valuation(cut(learnt(s, d)), YEAR_NOW).segments
 
 
 QUERIES = {
@@ -126,6 +154,7 @@ QUERIES = {
         COMPARABLES_SQL + f", e AS (SELECT model_id, abs({VALUE} - asking_price) * 100.0 / asking_price AS e FROM comparables) SELECT model_id, CAST(grouping(model_id) AS INT) AS is_total, count(*) AS tested, round(quantile_cont(e, 0.5), 2) AS mdape, round(avg(CAST(e <= 10 AS INT)) * 100, 2) AS within10 FROM e GROUP BY ROLLUP (model_id)",
     ),
     "val10_ratings": (ratings, RATINGS_SQL),
+    "val10_rating_counts": (ratings_counted, f"SELECT reason, rating, count(*) AS n, count(market_value) AS valued FROM ({RATINGS_SQL}) GROUP BY 1, 2"),
     "val12_mileage_in_thousands": (lambda s, d: V.mileage_decisions(written(s, d), given_fit(s, d), YEAR_NOW).select("listing_id", "price_ratio", "thousands"), MILEAGE_SQL),
     "prj16_adjustments": (
         lambda s, d: learnt(s, d).select("listing_id", F.explode(V.adjustments(EFFECTS, YEAR_NOW)).alias("a")).select("listing_id", "a.term", "a.percent"),
@@ -133,6 +162,7 @@ QUERIES = {
     ),
     "val09_fitted": (fitted, None),
     "val08_learnt_segments": (learnt_segments, None),
-    "val15_time_split": (lambda s, d: V.time_split(learnt(s, d), F.lit("2000-06-01").cast("date"), F.lit(AS_OF).cast("date"), YEAR_NOW), None),
+    "val15_time_split": (lambda s, d: V.time_split(cut(V.comparables(market(s, d), F.lit(SPLIT[1]).cast("date"))), *[F.lit(x).cast("date") for x in SPLIT], YEAR_NOW), None),
+    "val15_random_split": (lambda s, d: V.random_split(cut(learnt(s, d)), YEAR_NOW), None),
     "val16_run": (whole_run, None),
 }

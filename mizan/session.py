@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,10 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder and read from there: plans built on it start anew, and a lost executor costs
-    nothing of it. The folder is spark.checkpoint.dir; where it is unset, one made here, in local mode alone."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one made here, in local mode
+    alone."""
     if not spark.sparkContext.getCheckpointDir():
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found:
@@ -37,4 +37,16 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, not made yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read from there: plans built on it start anew, and a lost executor costs
+    nothing of it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -98,6 +98,11 @@ def test_thin_models_are_not_rated(spark):
     assert all(r["rates"] == (r["comparables"] >= 8) for r in parts.values()) and not parts[0]["rates"]
 
 
-def test_split_is_the_seeded_sequence():
-    got = V.seeded_split(1000)
-    assert 770 < sum(got) < 830 and got[0] == (((51 * 1664525 + 1013904223) % 2**32) / 2**32 < 0.8)
+def test_random_split_scores_the_rest(spark):
+    rows = spark.createDataFrame(made(500, np.random.default_rng(6), 0.02), SCHEMA)
+    got = {r["model_id"]: r for r in V.random_split(rows, YEAR).collect()}
+    picked, state = 0, 51
+    for _ in range(500):
+        state = (state * 1664525 + 1013904223) % 2**32
+        picked += state / 2**32 < 0.8
+    assert got[None]["tested"] == 500 - picked and got[None]["mdape"] < 6 and sum(r["tested"] for k, r in got.items() if k is not None) == 500 - picked
