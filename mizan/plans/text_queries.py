@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mizan.functions import text as T
 from mizan.operators import phrases as P
+from mizan.operators import settling
 from mizan.operators.textindex import TextIndex
 from mizan.session import new_folder, table
 
@@ -51,7 +53,14 @@ n AS (SELECT key, first, last, array_to_string(w[first:last], ' ') AS phrase, le
 f AS (SELECT n.*, fact, CASE WHEN negated THEN CASE WHEN has THEN 'not' END ELSE value END AS value FROM n JOIN g USING (phrase))
 SELECT key, fact, value, CAST(first AS INT) AS first, CAST(last AS INT) AS last, phrase, negated, min(value) OVER (PARTITION BY key, fact) = max(value) OVER (PARTITION BY key, fact) AS agreed FROM f WHERE value IS NOT NULL"""
 
+#: Groups of words that a sentence's reading left over.
+GROUPS = ["th", "le de", "zzzz", "s b"]
+SUBSETS_SQL = f"WITH d AS (SELECT list_distinct({_WORDS.format('text')}) AS w FROM documents WHERE lang IN ('en', 'fr')) " + " UNION ALL ".join(
+    f"SELECT CAST({k} AS INT) AS kept, count(*) AS n FROM d WHERE " + " AND ".join(["true", *[_HAS(w, False) for i, g in enumerate(GROUPS) if k >> i & 1 for w in g.split()]]) for k in range(1 << len(GROUPS))
+)
+
 QUERIES = {
+    "qry26_subset_counts": (lambda s, d: settling.subset_counts(table(s, d, "documents"), F.col("lang").isin("en", "fr"), T.lexemes(F.col("text")), GROUPS), SUBSETS_SQL),
     "prd12_indexed_search": (searched, SEARCHED_SQL),
     "agg17_indexed_vocabulary": (lambda s, d: index(s, d).vocabulary(), f"WITH d AS (SELECT DISTINCT doc_id, unnest({_WORDS.format('text')}) AS word FROM documents) SELECT word, count(*) AS df FROM d GROUP BY 1"),
     "ext15_stated_facts": (lambda s, d: P.stated_facts(table(s, d, "documents"), "doc_id", "text", glossary(s, d)), FACTS_SQL),
