@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mizan.plans import alert_queries, document_queries, event_queries, json_queries, reading_queries, search_queries, text_queries, valuation_queries
+from mizan.plans import alert_queries, document_queries, event_queries, json_queries, reading_queries, search_queries, text_queries, upkeep_queries, valuation_queries
 
-MODULES = (search_queries, event_queries, valuation_queries, reading_queries, document_queries, alert_queries, text_queries, json_queries)
+MODULES = (search_queries, event_queries, valuation_queries, reading_queries, document_queries, alert_queries, text_queries, json_queries, upkeep_queries)
 FLAGSHIP = "qry01_search_page"
 
 
