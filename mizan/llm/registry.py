@@ -34,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_chat_formatting": chat.OP5_SQL,
         "op7_source_mixing": mixing.OP7_SQL,
         "op9_benchmark_decontamination": decontam.OP9_SQL,
+        "op12_spelling_variants": spelling.OP12_SQL,
     }

@@ -325,3 +325,22 @@ def variants(spark: SparkSession, docs: DataFrame, *, least: int = COUNT, ratio:
 
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(spark, read(spark, sf_dir, "documents"))
+
+
+#: crc32 goes byte by byte through its table; letters from U+00C0 on are two bytes.
+OP12_SQL = f"""
+WITH RECURSIVE tab AS (SELECT {[int(x) for x in CRC]} AS t),
+r AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS x FROM documents),
+l AS (SELECT doc_id, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x, count(*) AS n FROM r WHERE length(x) >= {LETTERS} GROUP BY 1, 2),
+b AS (SELECT x, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || x, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST({LEAD} AS BIGINT), unicode(c) - 64] END)) AS bytes FROM l),
+h AS (SELECT x, n, xor(list_reduce(bytes, lambda c, y: xor(t[CAST(xor(c, y) & 255 AS INT) + 1], c >> 8), 4294967295), 4294967295) AS h FROM b, tab),
+e AS (SELECT CASE WHEN h % {NOISE} = 0 THEN substr(x, 1, CAST(h % length(x) AS BIGINT)) || substr(x, CAST(h % length(x) AS BIGINT) + 2) ELSE x END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(word) >= {LETTERS} GROUP BY 1 HAVING sum(n) >= {COUNT}),
+d AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+one AS (SELECT DISTINCT d.word AS a, w.word AS b FROM d JOIN w ON w.word = d.less),
+p AS (SELECT a, b FROM one UNION SELECT b, a FROM one UNION SELECT x.word, y.word FROM d x JOIN d y ON x.less = y.less AND x.i = y.i AND x.word <> y.word),
+k AS (SELECT a AS word, count(*) AS n_near, arg_min(b, {{'less': -w.n, 'b': b}}) AS best FROM p JOIN w ON w.word = b GROUP BY 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN z.n >= {RATIO} * w.n THEN best END AS form, CASE WHEN z.n >= {RATIO} * w.n THEN z.n END AS form_n FROM w LEFT JOIN k ON k.word = w.word LEFT JOIN w z ON z.word = best),
+c AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT c.word, f.word, f.form FROM c JOIN f ON f.word = c.next)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN c ON c.word = f.word AND c.next IS NULL
+"""
