@@ -13,6 +13,13 @@ from mizan.llm import decontam, mixing, neardup, tokens, toxicity
 from mizan.llm.common import Scratch, read
 
 
+def apart(docs: DataFrame) -> tuple[DataFrame, list]:
+    """docs with the columns that no stage reads named by number, so that none clashes with a stage's own, and what to
+    select to have them back."""
+    own = [c if c.lower() in ("doc_id", "text", "lang", "source") else f"own{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*own), [F.col(x).alias(c) for x, c in zip(own, docs.columns, strict=True)]
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learnt from the labels of these documents, does not reject. Null and empty
     texts are scored like any other; every column comes back as it was, whatever its name."""
@@ -33,13 +40,15 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found (five words, containment 0.8)."""
+    docs, back = apart(docs)
     found = decontam.with_leaks(spark, docs, read(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("leaks") == 0).select(*docs.columns)
+    return found.filter(F.size("leaks") == 0).select(*back)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that an 80 % token budget takes, by target weights; one epoch at most, so none is repeated."""
-    return mixing.mix(docs, mixing.source_domain(), max_epochs=1).filter("copies > 0").select(*docs.columns)
+    docs, back = apart(docs)
+    return mixing.mix(docs, mixing.source_domain(), max_epochs=1).filter("copies > 0").select(*back)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
