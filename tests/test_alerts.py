@@ -130,3 +130,18 @@ def test_stream_equals_runs_one_after_another(spark, data, tmp_path):
     store.handle(frame(spark, lots[3], NEWS), 3, **rules)
     assert told() == sorted(want)
     assert sorted((r.file_id, r.watermark) for r in store.files(4).collect()) == sorted((f["file_id"], f["watermark"]) for f in state)
+
+
+def test_files_that_ask_the_same_and_keys_of_many_lots(spark, data, monkeypatch):
+    cars, files = data
+    same = [f | {"file_id": 1_000 + i, "search": json.dumps({"v": 1, "filters": {"gearbox": ["O"]}}), "watermark": START + dt.timedelta(hours=i % 2)} for i, f in enumerate(files[:40])]
+    monkeypatch.setattr(A, "SEARCH_LOT", 3)
+    monkeypatch.setattr(A, "NEWS_LOT", 20)
+    searches = A.stored_searches(frame(spark, same, FILES))
+    a, b, on = A.in_lots(A.index(searches), frame(spark, cars, NEWS).withColumn("__key", F.lit("any")), "__key", ["file_id"], ["listing_id"])
+    assert a.groupBy(*on).count().agg(F.max("count")).first()[0] <= 12 and a.join(b, on).count() == 40 * len(cars)
+    got = A.matches(searches, frame(spark, cars, NEWS)).count()
+    assert got == 40 * sum(c["gearbox"] == "O" for c in cars)
+    # one text and watermark: one search, whatever the number of files
+    counts = A.told_counts(searches.select("search", "watermark"), frame(spark, cars, NEWS))
+    assert counts.count() == 2
