@@ -90,7 +90,7 @@ SELECT account_id, listing_id, new AS seen_status, v + CASE WHEN kind IS NULL TH
 
 
 def predictions(s, d):
-    return rated(listings(s, d)).filter("asking_price > 0").select("make_key", F.col("market_value").alias("predicted"), F.col("asking_price").alias("price"))
+    return rated(s, d).filter("asking_price > 0").select("make_key", F.col("market_value").alias("predicted"), F.col("asking_price").alias("price"))
 
 
 def answers(s, d):
@@ -118,7 +118,7 @@ QUERIES = {
     ),
     "prj09_km_per_year": (lambda s, d: listings(s, d).select("listing_id", D.km_per_year(F.col("mileage_km"), F.col("model_year"), YEAR_NOW).alias("km_per_year")), LISTINGS_SQL + f"SELECT listing_id, CAST(round(mileage_km / greatest({YEAR_NOW} - model_year, 0.5)) AS INT) AS km_per_year FROM listings"),
     "prj17_gauge": (
-        lambda s, d: rated(listings(s, d)).filter("price_gap is not null").select("listing_id", D.gauge(F.col("price_gap").cast("double")).alias("g")).select("listing_id", F.round("g.share", 6).alias("share"), F.col("g.beyond").alias("beyond")),
+        lambda s, d: rated(s, d).filter("price_gap is not null").select("listing_id", D.gauge(F.col("price_gap").cast("double")).alias("g")).select("listing_id", F.round("g.share", 6).alias("share"), F.col("g.beyond").alias("beyond")),
         RATED_SQL + "SELECT listing_id, round((least(greatest(CAST(price_gap AS DOUBLE), -20), 20) + 20) / 40, 6) AS share, abs(price_gap) > 20 AS beyond FROM rated WHERE price_gap IS NOT NULL",
     ),
     "qry25_freshness_state": (lambda s, d: listings(s, d).groupBy(D.freshness_state(F.when(F.col("gearbox") == "O", "active").otherwise("sold"), F.col("last_seen_at").cast("timestamp_ntz"), now()).alias("state")).agg(F.count("*").alias("n")), LISTINGS_SQL + f"SELECT CASE WHEN gearbox IS DISTINCT FROM 'O' THEN 'off_market' WHEN last_seen_at IS NULL OR TIMESTAMP '{NOW}' - last_seen_at > INTERVAL 6 HOUR THEN 'stale' ELSE 'fresh' END AS state, count(*) AS n FROM listings GROUP BY 1"),

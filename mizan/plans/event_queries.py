@@ -52,7 +52,7 @@ FILES_SQL = {"cheap": "asking_price <= 20000", "good": "rating IN ('great', 'goo
 def alerts(s, d):
     clock = P.Clock(NOW, YEAR_NOW)
     files = [(k, P.searchable(v, clock)) for k, v in FILES.items()]
-    return E.matched(files, rated(listings(s, d)), at("2001-01-01 00:00:00"), at("2001-06-30 23:59:00"), "listed_at")
+    return E.matched(files, rated(s, d), at("2001-01-01 00:00:00"), at("2001-06-30 23:59:00"), "listed_at")
 
 
 def numbers(s, d):

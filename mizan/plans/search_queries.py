@@ -24,7 +24,7 @@ PAGE_COLUMNS = "listing_id, model_key, model_year, mileage_km, asking_price, mar
 
 
 def full(spark, d):
-    return rated(listings(spark, d))
+    return rated(spark, d)
 
 
 def shown(df):
