@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mizan.operators.market import exact_medians, same
+from mizan.session import stored
+
 #: Conditions that count as painted or not, sizes that are shown, and targets.
 PAINTED_TEXT = ("spots", "partial", "around", "full")
 PAINTED_BODY = ("partly_repainted", "repainted_around", "fully_repainted", "accident_damaged", "salvage")
@@ -154,8 +157,12 @@ def spread(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 def accuracy(rows: DataFrame, key: str) -> DataFrame:
     """rows(key, predicted, price): tested, median error in percent and the share within 10 %, by key and, key null, of all."""
     error = F.abs(F.col("predicted") - F.col("price")) * 100 / F.col("price")
-    scored = rows.select(key, error.alias("e")).filter("e is not null")
-    return scored.groupingSets([[key], []], key).agg(F.count("*").alias("tested"), F.round(F.percentile("e", 0.5), 2).alias("mdape"), F.round(F.count_if(F.col("e") <= 10) * 100 / F.count("*"), 2).alias("within_10"))
+    scored = stored(rows.select(key, error.alias("e")).filter("e is not null"))
+    tallies = [F.count("*").alias("tested"), F.round(F.count_if(F.col("e") <= 10) * 100 / F.count("*"), 2).alias("within_10")]
+    shown = (key, "tested", F.round("__median", 2).alias("mdape"), "within_10")
+    by = same(scored.groupBy(key).agg(*tallies), exact_medians(scored, [key], "e", "__median"), [key]).select(*shown)
+    total = same(scored.groupBy(F.lit(None).cast(scored.schema[key].dataType).alias(key)).agg(*tallies), exact_medians(scored, [], "e", "__median"), []).select(*shown)
+    return by.unionByName(total)
 
 
 def class_scores(rows: DataFrame, label: str, answer: str) -> DataFrame:
