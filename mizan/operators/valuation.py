@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from mizan.operators.events import tehran_day
 from mizan.operators.document import lcg_share
-from mizan.operators.market import first_of_reposts, numbered, price_outliers
-from mizan.session import cut
+from mizan.operators.market import exact_medians, first_of_reposts, numbered, price_outliers
+from mizan.session import cut, stored
 
 #: Fixed values of the method.
 WINDOW_DAYS, KM_A_YEAR, ZERO_KM, STRENGTH = 30, 20_000, 1_000, 20
@@ -63,14 +63,15 @@ def comparables(listings: DataFrame, as_of: Column, days: int = WINDOW_DAYS) ->
     return first_of_reposts(some, ["source_id", "model_id", "model_year", "mileage_km", "asking_price"], [F.asc("listed_at"), F.asc("listing_id")])
 
 
-def features(year_now: int, day: bool = True) -> dict[str, Column]:
+def features(year_now: int, day: bool = True, km: str | Column = "mileage_km") -> dict[str, Column]:
     """The shared features of a listing; day: also how long before the run's day it was posted (0 when rating)."""
+    km = F.col(km) if isinstance(km, str) else km
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     age = F.greatest(F.lit(year_now) - F.col("model_year"), F.lit(0)).cast("double")
     return {
         "age_slope": age,
-        "mileage_deviation": (F.col("mileage_km") - KM_A_YEAR * F.greatest(age, F.lit(0.5))) / 100_000,
-        "zero_km": flag(F.col("mileage_km") < ZERO_KM),
+        "mileage_deviation": (km - KM_A_YEAR * F.greatest(age, F.lit(0.5))) / 100_000,
+        "zero_km": flag(km < ZERO_KM),
         "body_minor": flag(F.col("body_condition") == "minor_scratches"),
         "body_painted": flag(F.col("body_condition") == "partly_repainted"),
         "body_painted_around": flag(F.col("body_condition") == "repainted_around"),
@@ -161,14 +162,21 @@ class Fit:
 
     def predicted(self, rows: DataFrame, year_now: int, day: bool = True, name: str = "ln_value") -> DataFrame:
         """rows and the logarithm of their value; null for models that were not fitted."""
-        x = features(year_now, day)
+        return self.predicted_at(rows, year_now, {name: F.col("mileage_km")}, day)
+
+    def predicted_at(self, rows: DataFrame, year_now: int, mileages: dict[str, Column], day: bool = True) -> DataFrame:
+        """rows and, by name, the logarithm of their value at each mileage; rows meet their model's unknowns once."""
         base = self.models.filter("trim_id is null").select("model_id", "level", "slope")
         trims = self.models.filter("trim_id is not null").select("model_id", "trim_id", "trim_level")
-        value = F.col("level") + F.col("slope") * x["age_slope"] + F.coalesce("trim_level", F.lit(0.0))
-        for t in TERMS[1:]:
-            value = value + F.lit(self.shared[t]) * x[t]
         both = rows.join(base, "model_id", "left").join(trims, ["model_id", "trim_id"], "left")
-        return both.withColumn(name, value).drop("level", "slope", "trim_level")
+        values = {}
+        for name, km in mileages.items():
+            x = features(year_now, day, km)
+            value = F.col("level") + F.col("slope") * x["age_slope"] + F.coalesce("trim_level", F.lit(0.0))
+            for t in TERMS[1:]:
+                value = value + F.lit(self.shared[t]) * x[t]
+            values[name] = value
+        return both.withColumns(values).drop("level", "slope", "trim_level")
 
 
 def ridge(rows: DataFrame, year_now: int, rounds: int = 50) -> Fit:
@@ -231,7 +239,7 @@ def ridge(rows: DataFrame, year_now: int, rounds: int = 50) -> Fit:
     free = [i for i in range(N) if i not in fixed]
     covariance = np.zeros((N, N))
     covariance[np.ix_(free, free)] = np.linalg.inv(a[np.ix_(free, free)])
-    return Fit(dict(zip(TERMS, beta.tolist(), strict=True)), cut(own(beta).drop("own")), covariance, held)
+    return Fit(dict(zip(TERMS, beta.tolist(), strict=True)), stored(own(beta).drop("own"), "models"), covariance, held)
 
 
 def left_out(fit: Fit, rows: DataFrame, year_now: int) -> DataFrame:
@@ -264,13 +272,15 @@ def left_out(fit: Fit, rows: DataFrame, year_now: int) -> DataFrame:
 
 
 def residual_outliers(rows: DataFrame, residual: Column, mads: float = MADS) -> DataFrame:
-    """rows and is_far: residuals further than so many scaled median absolute deviations from their median."""
-    some = rows.withColumn("__r", residual)
-    centre = some.agg(F.percentile("__r", 0.5).alias("__centre"))
-    off = some.crossJoin(F.broadcast(centre)).withColumn("__off", F.abs(F.col("__r") - F.col("__centre")))  # one row
-    spread = off.agg((MAD_SCALE * F.percentile("__off", 0.5)).alias("__spread"))
-    out = off.crossJoin(F.broadcast(spread)).withColumn("is_far", (F.col("__spread") > 0) & (F.col("__off") > mads * F.col("__spread")))
-    return out.drop("__r", "__centre", "__off", "__spread")
+    """rows and is_far: residuals further than so many scaled median absolute deviations from their median. rows are
+    written, so give only the columns that are wanted."""
+    off = F.abs(F.col("__r") - F.col("__centre"))
+    some = stored(rows.withColumn("__r", residual), "residuals")
+    some = some.crossJoin(F.broadcast(exact_medians(some, [], "__r", "__centre"))).withColumn("__off", off)  # one row
+    some = stored(some.drop("__r", "__centre"), "distances")
+    spread = exact_medians(some, [], "__off", "__spread").withColumn("__spread", MAD_SCALE * F.col("__spread"))
+    out = some.crossJoin(F.broadcast(spread)).withColumn("is_far", (F.col("__spread") > 0) & (F.col("__off") > mads * F.col("__spread")))
+    return out.drop("__off", "__spread")
 
 
 def segments(rows: DataFrame, value: Column) -> DataFrame:
@@ -294,15 +304,15 @@ def valuation(rows: DataFrame, year_now: int) -> Valuation:
     """The whole fit: price outliers out, a first fit, residual outliers out, the final fit, segments by leave-one-out
     errors, and every comparable of a segment with fitted value and is_outlier. What several steps read is
     written once."""
-    marked = cut(price_outliers(rows, factor=FACTOR).drop("near_median"))
+    marked = stored(price_outliers(rows, factor=FACTOR).drop("near_median"), "marked")
     first = marked.filter("not is_outlier")
     early = ridge(first, year_now)
-    far = residual_outliers(early.predicted(first, year_now), F.log("asking_price") - F.col("ln_value")).filter("is_far").select("listing_id")
-    far = cut(far)
-    kept = cut(first.join(far, "listing_id", "left_anti"))
+    said = early.predicted(first, year_now).select("listing_id", (F.log("asking_price") - F.col("ln_value")).alias("residual"))
+    far = stored(residual_outliers(said, F.col("residual")).filter("is_far").select("listing_id"), "far")
+    kept = stored(first.join(far, "listing_id", "left_anti"), "kept")
     final = ridge(kept, year_now)
     parts = segments(left_out(final, kept, year_now), F.exp("ln_left_out"))
-    parts = cut(parts)
+    parts = stored(parts, "segments")
     gone = marked.filter("is_outlier").select("listing_id").union(far).withColumn("is_outlier", F.lit(True))
     every = final.predicted(rows.join(parts.select("model_id"), "model_id", "left_semi"), year_now).filter("ln_value is not null")
     every = every.join(gone, "listing_id", "left").withColumns({"is_outlier": F.coalesce("is_outlier", F.lit(False)), "fitted": F.floor(F.exp("ln_value") + 0.5).cast("long")})
@@ -351,8 +361,7 @@ def plausible_thousands(written: Column, age: Column) -> Column:
 def mileage_decisions(rows: DataFrame, fit: Fit, year_now: int, ratio: float = 1.15) -> DataFrame:
     """rows(written_km, ...) with price_ratio (asking price over value at 1,000 times the figure, three decimals) and
     thousands: whether the price says that the seller wrote thousands."""
-    at = lambda df, km, name: fit.predicted(df.withColumn("mileage_km", km), year_now, name=name)
-    both = at(at(rows, F.col("written_km"), "__as"), F.col("written_km") * 1000, "__thousand")
+    both = fit.predicted_at(rows, year_now, {"__as": F.col("written_km"), "__thousand": F.col("written_km") * 1000}).withColumn("mileage_km", F.col("written_km") * 1000)
     said = F.least(F.round(F.col("asking_price") / F.exp("__thousand"), 3), F.lit(9_999.0))
     gap = F.exp(F.col("__as") - F.col("__thousand"))
     age = F.greatest(F.lit(year_now) - F.col("model_year"), F.lit(0))
@@ -379,8 +388,13 @@ def scores(rows: DataFrame, value: Column) -> DataFrame:
     """(model_id, tested, mdape, within10): median absolute error in percent and the share within ten, by model and, with
     a null model_id, of all; a rollup."""
     error = F.abs(value - F.col("asking_price")) * 100 / F.col("asking_price")
-    return rows.withColumn("__e", error).rollup("model_id").agg(
-        F.grouping("model_id").cast("int").alias("is_total"), F.count("*").alias("tested"), F.round(F.percentile("__e", 0.5), 2).alias("mdape"), F.round(F.avg((F.col("__e") <= 10).cast("double")) * 100, 2).alias("within10"))
+    some = stored(rows.select("model_id", error.alias("__e")), "errors")
+    tallies = [F.count("*").alias("tested"), F.round(F.avg((F.col("__e") <= 10).cast("double")) * 100, 2).alias("within10")]
+    shown = ("model_id", "is_total", "tested", "mdape", "within10")
+    by = some.groupBy("model_id").agg(F.lit(0).alias("is_total"), F.round(F.percentile("__e", 0.5), 2).alias("mdape"), *tallies).select(*shown)
+    total = some.groupBy(F.lit(None).cast(some.schema["model_id"].dataType).alias("model_id"), F.lit(1).alias("is_total")).agg(*tallies)
+    total = total.crossJoin(F.broadcast(exact_medians(some, [], "__e", "__median"))).withColumn("mdape", F.round("__median", 2))  # one row
+    return by.unionByName(total.select(*shown))
 
 
 def split_scores(learn: DataFrame, test: DataFrame, year_now: int) -> DataFrame:
@@ -402,7 +416,7 @@ def random_split(rows: DataFrame, year_now: int, seed: int = 51, share: float =
     """Learns from the rows that a seeded linear congruential sequence picks, row by row in the order of their ids, and
     scores the others. A row's number comes from counts of ranges, and its state of the sequence from its number."""
     places = numbered(rows, "listing_id").withColumn("__learn", lcg_share(F.col("n"), seed) < share)
-    both = cut(rows.join(places.drop("n"), "listing_id"))
+    both = stored(rows.join(places.drop("n"), "listing_id"), "split")
     return split_scores(both.filter("__learn").drop("__learn"), both.filter("not __learn").drop("__learn"), year_now)
 
 
