@@ -82,3 +82,14 @@ def test_timers_let_states_lapse(spark, tmp_path):
     got = [tuple(r)[:5] for r in spark.read.parquet(f"{tmp_path}/out").collect()]
     assert got == [(7, 2, day(61), "off_market", 1)]
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] > 0
+
+
+def test_only_what_is_announced_meets_marks(spark):
+    """Events that tell nobody are not carried to every mark of their listing."""
+    events = spark.createDataFrame([(1, START + dt.timedelta(hours=i), "active", "asking", 100) for i in range(50)] + [(1, START + dt.timedelta(hours=60), "sold", "asking", 100)], EVENTS)
+    marks = spark.createDataFrame([(a, 1, START) for a in range(40)], MARKS)
+    assert mark_notices(events, marks).count() == 40
+    # the windows over a listing's events stand under the join: nothing of them is done for each mark
+    plan = mark_notices(events, marks)._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan.index("Join Inner")
+    assert "lag(status" not in plan[:joined] and "lag(status" in plan[joined:]
