@@ -36,9 +36,10 @@ class TextIndex:
     def build(cls, docs: DataFrame, key: str, text: str, root: str) -> TextIndex:
         """Write the index of docs(key, text): one row for each different word of each text, in the form that searches
         compare. Rows, not lists: a word that a third of all texts hold is spread over many files by its ids, and no task
-        gathers it. Null and empty texts have no words. Rows that share a key are one text to a search. An empty table: an empty index."""
+        gathers it. Null and empty texts have no words. Rows that share a key are one text: its word stands once. An empty table: an empty index."""
         rows = docs.select(F.col(key).alias("id"), F.explode(T.lexemes(F.col(text))).alias("word")).withColumn("head", head(F.col("word")))
-        ordered = rows.repartitionByRange("head", "word", "id").sortWithinPartitions("head", "word", "id")
+        place = ["head", "word", "id"]
+        ordered = rows.repartitionByRange(*place).dropDuplicates(place).sortWithinPartitions(*place)  # equal rows are in one range
         ordered.write.partitionBy("head").parquet(root)
         return cls(docs.sparkSession, root, docs.schema[key].dataType.simpleString())
 
@@ -46,8 +47,8 @@ class TextIndex:
         return self.spark.read.schema(f"id {self.id_type}, word string, head string").parquet(self.root)
 
     def vocabulary(self) -> DataFrame:
-        """(word, df), from the postings alone."""
-        return self.rows().groupBy("word").agg(F.countDistinct("id").alias("df"))
+        """(word, df), from the postings alone; each stands once, so tasks send counts. A null id is no text."""
+        return self.rows().groupBy("word").agg(F.count("id").alias("df"))
 
     def term(self, word: str, exact: bool) -> DataFrame:
         """(id) of texts with a word, or with any that begins so: one folder, and in it one range of words."""

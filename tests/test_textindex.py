@@ -46,3 +46,11 @@ def test_vocabulary(docs, index):
 def test_no_rows(spark, docs):
     empty = TextIndex.build(docs.limit(0), "doc_id", "text", new_folder(spark, "index"))
     assert empty.search([("a", False)]).collect() == [] and empty.vocabulary().collect() == []
+
+
+def test_postings_stand_once_and_vocabulary_counts_them(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "red car"), (1, "car blue"), (2, "car"), (None, "car")], "doc_id long, text string")
+    made = TextIndex.build(rows, "doc_id", "text", f"{tmp_path}/again")
+    assert made.rows().filter("id is not null").count() == 4
+    assert {r.word: r.df for r in made.vocabulary().collect()} == {"red": 1, "car": 2, "blue": 1}
+    assert "distinct" not in made.vocabulary()._jdf.queryExecution().optimizedPlan().toString().lower()
