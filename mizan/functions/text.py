@@ -37,15 +37,21 @@ def with_persian_letters(text: Column) -> Column:
     return F.translate(text, LETTERS_FROM, LETTERS_TO)
 
 
+def folded(text: Column) -> Column:
+    """One form of letters and digits, no tatweel, half-spaces as spaces, lower case. One pass over the characters: none
+    becomes another that is folded, too."""
+    return F.lower(F.translate(text, LETTERS_FROM + PERSIAN + ARABIC + HEH_FROM + ZWNJ + TATWEEL, LETTERS_TO + LATIN * 2 + HEH_TO + " "))
+
+
 def normalised(text: Column) -> Column:
-    """One form of letters and digits, no tatweel, half-spaces as spaces, lower case, single spaces."""
-    folded = F.translate(to_latin_digits(with_persian_letters(text)), HEH_FROM + ZWNJ + TATWEEL, HEH_TO + " ")
-    return F.trim(F.regexp_replace(F.lower(folded), "\\s+", " "))
+    """folded, with single spaces."""
+    return F.trim(F.regexp_replace(folded(text), "\\s+", " "))
 
 
 def search_form(text: Column) -> Column:
-    """normalised, with letters and digits parted. Compatibility forms are folded by nfkc() before, where they occur."""
-    parted = F.regexp_replace(F.regexp_replace(normalised(text), "(\\p{L})(\\p{N})", "$1 $2"), "(\\p{N})(\\p{L})", "$1 $2")
+    """normalised, with letters and digits parted. Compatibility forms are folded by nfkc() before, where they occur. Spaces
+    go with the marks, in one pass."""
+    parted = F.regexp_replace(F.regexp_replace(folded(text), "(\\p{L})(\\p{N})", "$1 $2"), "(\\p{N})(\\p{L})", "$1 $2")
     return F.trim(F.regexp_replace(parted, "[^\\p{L}\\p{N}\\p{M}]+", " "))
 
 
