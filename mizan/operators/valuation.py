@@ -320,28 +320,34 @@ def valuation(rows: DataFrame, year_now: int) -> Valuation:
 
 
 def rated(listings: DataFrame, parts: DataFrame, learnt: DataFrame) -> DataFrame:
-    """listings(with ln_value) and market_value, price_gap, rating, reason; parts: segments; learnt: comparables with
-    is_outlier. The first reason that holds is the one given; a gap is stored only where there is no reason."""
+    """(listing_id, market_value, price_gap, rating, reason) of listings(with ln_value), whose ids differ; parts: segments;
+    learnt: comparables with is_outlier. The first reason that holds is the one given; a gap is stored only where there is
+    no reason.
+
+    What a model and a year offer is one written table, which listings meet once. Listings with the reasons of their own
+    are written; only those that nothing else excludes meet the outliers."""
     years = listings.select("model_id", "model_year").distinct().filter("model_year is not null")
-    offered = near_in_frame(learnt, years)
-    both = listings.join(parts.select("model_id", "comparables", "zero_km", "rates"), "model_id", "left").join(offered, ["model_id", "model_year"], "left")
-    both = both.join(learnt.select("listing_id", "is_outlier"), "listing_id", "left")
+    offered = near_in_frame(learnt, years).join(parts.select("model_id", "comparables", "zero_km", "rates"), "model_id", "left")
+    both = listings.join(stored(offered, "offered"), ["model_id", "model_year"], "left")
     missing = F.col("model_year").isNull() | F.col("mileage_km").isNull() | F.col("gearbox").isNull()
     same_kind = F.when(F.col("mileage_km") < ZERO_KM, F.col("zero_km")).otherwise(F.col("comparables") - F.col("zero_km"))
     unvalued = F.when(F.col("model_id").isNull(), "unmatched_model").when(F.col("price_type").isNull(), "unknown_price").when(missing, "missing_attributes").when(excluded_condition(), "excluded_condition")
     unrated = F.coalesce(unvalued, F.when(F.col("ln_value").isNull() | F.col("comparables").isNull() | (F.col("comparables") < LEAST_SEGMENT), "too_few_comparables").when(~F.col("rates"), "uncertain_segment").when((F.coalesce("near", F.lit(0)) < 3) | (same_kind < 1), "year_out_of_range"))
-    value = F.when(unrated.isNull(), F.rint(F.exp("ln_value")).cast("long"))
-    ask = F.col("asking_price")
-    off = F.coalesce(F.col("is_outlier"), F.lit(False)) | ~ask.between(value / 3.0, value * 3.0)
-    why = F.coalesce(unrated, F.when(F.col("price_type") == "negotiable", "no_asking_price").when(F.col("price_type") == "placeholder", "placeholder_price").when(F.col("price_type") == "installment", "installment_price").when((F.col("seller_type") == "dealer") & (F.col("mileage_km") < ZERO_KM), "dealer_new_car").when(off, "price_outlier"))
-    some = both.withColumns({"market_value": value, "__why": why})
+    both = both.withColumn("__unrated", unrated)
+    both = both.withColumn("market_value", F.when(F.col("__unrated").isNull(), F.rint(F.exp("ln_value")).cast("long")))
+    value, ask = F.col("market_value"), F.col("asking_price")
+    why = F.coalesce("__unrated", F.when(F.col("price_type") == "negotiable", "no_asking_price").when(F.col("price_type") == "placeholder", "placeholder_price").when(F.col("price_type") == "installment", "installment_price").when((F.col("seller_type") == "dealer") & (F.col("mileage_km") < ZERO_KM), "dealer_new_car").when(~ask.between(value / 3.0, value * 3.0), "price_outlier"))
+    own = stored(both.select("listing_id", "asking_price", "accepts_installments", "market_value", why.alias("__why")), "reasons")
+    outliers = learnt.filter("is_outlier").select("listing_id", F.lit("price_outlier").alias("__off"))
+    open_ones = own.filter("__why is null").drop("__why").join(outliers, "listing_id", "left").withColumnRenamed("__off", "__why")
+    some = own.filter("__why is not null").unionByName(open_ones)
     gap = F.when(F.col("__why").isNull(), F.round(((ask - F.col("market_value")) * 100 / F.col("market_value")).cast("decimal(18,6)"), 2).cast("decimal(9,2)"))
     some = some.withColumn("__gap", gap)
     some = some.withColumn("reason", F.coalesce("__why", F.when(F.coalesce(F.col("accepts_installments"), F.lit(False)) & (F.col("__gap") <= INSTALLMENT_GUARD), "installment_price")))
     some = some.withColumn("price_gap", F.when(F.col("reason").isNull(), F.col("__gap")))
     g = F.col("price_gap")
     rating = F.when(g <= -10, "great").when(g <= -4, "good").when(g < 4, "fair").when(g < 10, "high").when(g.isNotNull(), "overpriced")
-    return some.withColumn("rating", rating).drop("__why", "__gap", "comparables", "zero_km", "rates", "near", "is_outlier")
+    return some.select("listing_id", "market_value", "price_gap", rating.alias("rating"), "reason")
 
 
 def near_in_frame(learnt: DataFrame, years: DataFrame, span: int = 2) -> DataFrame:
