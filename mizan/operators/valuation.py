@@ -49,9 +49,18 @@ def excluded_condition() -> Column:
     return out | bad("front_chassis", ("damaged",)) | bad("rear_chassis", ("damaged",))
 
 
+#: What a listing and its reposts share.
+REPOSTS = ["source_id", "model_id", "model_year", "mileage_km", "asking_price"]
+
+
 def comparables(listings: DataFrame, as_of: Column, days: int = WINDOW_DAYS) -> DataFrame:
-    """Asking listings that a fit may learn from: known model, year, mileage and gearbox; active or seen in the window;
-    no excluded condition, no dealer's new car; the first of reposts. Adds days_before: from the posting day to as_of."""
+    """Listings that a fit may learn from: the first of eligible() reposts."""
+    return first_of_reposts(eligible(listings, as_of, days), REPOSTS, [F.asc("listed_at"), F.asc("listing_id")])
+
+
+def eligible(listings: DataFrame, as_of: Column, days: int = WINDOW_DAYS) -> DataFrame:
+    """Asking listings of known model, year, mileage and gearbox; active or seen in the window; no excluded condition, no
+    dealer's new car. Adds days_before: from the posting day to as_of."""
     listed, seen = tehran_day(F.col("listed_at")), tehran_day(F.col("last_seen_at"))
     known = F.col("price_type") == "asking"
     for c in ("asking_price", "model_id", "model_year", "mileage_km", "gearbox"):
@@ -59,8 +68,7 @@ def comparables(listings: DataFrame, as_of: Column, days: int = WINDOW_DAYS) ->
     held = (F.col("status") == "active") | (seen >= F.date_sub(as_of, days))
     new = (F.col("seller_type") == "dealer") & (F.col("mileage_km") < ZERO_KM)
     some = listings.filter(known & (listed <= as_of) & held & ~excluded_condition() & ~F.coalesce(new, F.lit(False)))
-    some = some.withColumn("days_before", F.datediff(as_of, listed))
-    return first_of_reposts(some, ["source_id", "model_id", "model_year", "mileage_km", "asking_price"], [F.asc("listed_at"), F.asc("listing_id")])
+    return some.withColumn("days_before", F.datediff(as_of, listed))
 
 
 def features(year_now: int, day: bool = True, km: str | Column = "mileage_km") -> dict[str, Column]:
