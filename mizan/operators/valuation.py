@@ -281,14 +281,14 @@ def left_out(fit: Fit, rows: DataFrame, year_now: int) -> DataFrame:
 
 def residual_outliers(rows: DataFrame, residual: Column, mads: float = MADS) -> DataFrame:
     """rows and is_far: residuals further than so many scaled median absolute deviations from their median. rows are
-    written, so give only the columns that are wanted."""
-    off = F.abs(F.col("__r") - F.col("__centre"))
+    written once, so give only the columns that are wanted; the median and the deviation are written as a row each."""
     some = stored(rows.withColumn("__r", residual), "residuals")
-    some = some.crossJoin(F.broadcast(exact_medians(some, [], "__r", "__centre"))).withColumn("__off", off)  # one row
-    some = stored(some.drop("__r", "__centre"), "distances")
-    spread = exact_medians(some, [], "__off", "__spread").withColumn("__spread", MAD_SCALE * F.col("__spread"))
-    out = some.crossJoin(F.broadcast(spread)).withColumn("is_far", (F.col("__spread") > 0) & (F.col("__off") > mads * F.col("__spread")))
-    return out.drop("__off", "__spread")
+    centre = F.broadcast(stored(exact_medians(some, [], "__r", "__centre"), "centre"))
+    off = F.abs(F.col("__r") - F.col("__centre"))
+    spread = exact_medians(some.crossJoin(centre).select(off.alias("__off")), [], "__off", "__spread")
+    spread = F.broadcast(stored(spread.withColumn("__spread", MAD_SCALE * F.col("__spread")), "spread"))
+    out = some.crossJoin(centre).crossJoin(spread).withColumn("is_far", (F.col("__spread") > 0) & (off > mads * F.col("__spread")))
+    return out.drop("__r", "__centre", "__spread")
 
 
 def segments(rows: DataFrame, value: Column) -> DataFrame:
