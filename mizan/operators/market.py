@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mizan.session import cut
+from mizan.session import stored
 
 
 def median(column: str | Column) -> Column:
@@ -75,18 +75,23 @@ def near_year_counts(rows: DataFrame, span: int = 2) -> DataFrame:
     return by.withColumn("near", F.sum("n").over(frame))
 
 
-def price_outliers(rows: DataFrame, span: int = 2, least: int = 3, factor: float = 3.0) -> DataFrame:
-    """rows and near_median, is_outlier: an asking price outside a factor of the median of its model's rows within
-    `span` years, or of the whole model if fewer than `least` are so near.
+def usual_prices(rows: DataFrame, span: int = 2, least: int = 3) -> DataFrame:
+    """(model_id, model_year, near_median): the median asking price of the model's rows within `span` years of each year,
+    or of the whole model if fewer than `least` are so near; also for years next to those that rows have.
 
     Each row is offered to the years it is near to, so work is rows times the span, never rows times rows or years."""
     priced = rows.filter("model_year is not null and asking_price is not null")
-    years = priced.select("model_id", F.col("model_year").alias("y")).distinct()
-    offered = priced.select("model_id", F.explode(F.sequence(F.col("model_year") - span, F.col("model_year") + span)).alias("y"), "asking_price").join(years, ["model_id", "y"], "left_semi")
-    close = offered.groupBy("model_id", "y").agg(F.count("*").alias("n"), F.percentile("asking_price", 0.5).alias("close"))
+    offered = priced.select("model_id", F.explode(F.sequence(F.col("model_year") - span, F.col("model_year") + span)).alias("model_year"), "asking_price")
+    close = offered.groupBy("model_id", "model_year").agg(F.count("*").alias("n"), F.percentile("asking_price", 0.5).alias("close"))
     whole = priced.groupBy("model_id").agg(F.percentile("asking_price", 0.5).alias("whole"))
-    usual = close.join(whole, "model_id").select("model_id", F.col("y").alias("model_year"), F.when(F.col("n") >= least, F.col("close")).otherwise(F.col("whole")).alias("near_median"))
-    both = priced.join(usual, ["model_id", "model_year"])
+    return close.join(whole, "model_id").select("model_id", "model_year", F.when(F.col("n") >= least, F.col("close")).otherwise(F.col("whole")).alias("near_median"))
+
+
+def price_outliers(rows: DataFrame, span: int = 2, least: int = 3, factor: float = 3.0, usual: DataFrame | None = None) -> DataFrame:
+    """rows and near_median, is_outlier: an asking price outside a factor of its model's and year's usual one; usual:
+    usual_prices() that have been written, if they are."""
+    priced = rows.filter("model_year is not null and asking_price is not null")
+    both = priced.join(usual_prices(rows, span, least) if usual is None else usual, ["model_id", "model_year"])
     off = (F.col("asking_price") > F.col("near_median") * factor) | (F.col("asking_price") * factor < F.col("near_median"))
     return both.withColumn("is_outlier", off)
 
@@ -220,17 +225,18 @@ def aliases(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(value)), " ").alias("words"))
 
 
-def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """(key, n): places from 1 in ascending key order, equal keys in any order among themselves.
+def numbered(rows: DataFrame, key: str, *more: str) -> DataFrame:
+    """(key, more, n): places from 1 in ascending key order, equal keys in any order among themselves.
 
-    Keys are range-partitioned and sorted, and written with their range; a row's number is its place in its range plus the
-    rows of the ranges before. Counting and numbering read what was written, so both see the same ranges, and no task
-    numbers more than one."""
-    placed = cut(rows.select(key).repartitionByRange(key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id()))
-    within = placed.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(key)))
+    Rows are range-partitioned and sorted, and written with their range and place in it; a row's number is its place plus
+    the rows of the ranges before. Rows move once, and no task numbers more than one range."""
+    low = 33  # bits of monotonically_increasing_id() that hold the place in a partition
+    placed = stored(rows.select(key, *more).repartitionByRange(key).sortWithinPartitions(key).withColumn("__at", F.monotonically_increasing_id()), "places")
+    placed = placed.withColumn("__p", F.shiftright("__at", low))
     sizes = placed.groupBy("__p").agg(F.count("*").alias("__n"))
     ahead = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return within.join(F.broadcast(ahead), "__p").select(key, (F.col("__i") + F.col("__before")).alias("n"))  # one row a range
+    n = F.col("__at").bitwiseAND((1 << low) - 1) + 1 + F.col("__before")
+    return placed.join(F.broadcast(ahead), "__p").select(key, *more, n.alias("n"))  # one row a range
 
 
 def chunk_bounds(rows: DataFrame, key: str, every: int) -> DataFrame:

@@ -9,7 +9,6 @@ the driver, and the models' unknowns from it in parallel again.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from mizan.operators.events import tehran_day
 from mizan.operators.document import lcg_share
-from mizan.operators.market import exact_medians, first_of_reposts, numbered, price_outliers
+from mizan.operators.market import exact_medians, first_of_reposts, numbered, price_outliers, usual_prices
 from mizan.session import cut, stored
 
 #: Fixed values of the method.
@@ -168,6 +167,13 @@ class Fit:
     covariance: np.ndarray
     held: dict = field(default_factory=dict)
 
+    def value(self, x: dict[str, Column]) -> Column:
+        """The logarithm of the value at these features, of rows that have met their model's unknowns."""
+        out = F.col("level") + F.col("slope") * x["age_slope"] + F.coalesce("trim_level", F.lit(0.0))
+        for t in TERMS[1:]:
+            out = out + F.lit(self.shared[t]) * x[t]
+        return out
+
     def predicted(self, rows: DataFrame, year_now: int, day: bool = True, name: str = "ln_value") -> DataFrame:
         """rows and the logarithm of their value; null for models that were not fitted."""
         return self.predicted_at(rows, year_now, {name: F.col("mileage_km")}, day)
@@ -179,11 +185,7 @@ class Fit:
         both = rows.join(base, "model_id", "left").join(trims, ["model_id", "trim_id"], "left")
         values = {}
         for name, km in mileages.items():
-            x = features(year_now, day, km)
-            value = F.col("level") + F.col("slope") * x["age_slope"] + F.coalesce("trim_level", F.lit(0.0))
-            for t in TERMS[1:]:
-                value = value + F.lit(self.shared[t]) * x[t]
-            values[name] = value
+            values[name] = self.value(features(year_now, day, km))
         return both.withColumns(values).drop("level", "slope", "trim_level")
 
 
@@ -222,7 +224,9 @@ def ridge(rows: DataFrame, year_now: int, rounds: int = 50) -> Fit:
             out = []
             for k, trim in [(None, None), *enumerate(block.trims, 2)]:
                 of = [0, 1] if k is None else [0, 1, k]
-                out.append({"model_id": name, "trim_id": trim, "level": v[0], "slope": beta[0] + v[1], "trim_level": 0.0 if k is None else v[k], "own": v[1], "inverse": inverse[np.ix_(of, of)].ravel(), "half": (block.cross.T @ inverse[:, of]).ravel()})
+                near, half = np.zeros((3, 3)), np.zeros((N, 3))  # a model itself has no third unknown
+                near[: len(of), : len(of)], half[:, : len(of)] = inverse[np.ix_(of, of)], block.cross.T @ inverse[:, of]
+                out.append({"model_id": name, "trim_id": trim, "level": v[0], "slope": beta[0] + v[1], "trim_level": 0.0 if k is None else v[k], "own": v[1], "inverse": near.ravel(), "half": half.ravel()})
             return pd.DataFrame(out)
 
         kinds = {c: stats.schema[c].dataType.simpleString() for c in ("model_id", "trim_id")}
@@ -252,31 +256,26 @@ def ridge(rows: DataFrame, year_now: int, rounds: int = 50) -> Fit:
 
 def left_out(fit: Fit, rows: DataFrame, year_now: int) -> DataFrame:
     """rows with ln_value, and ln_left_out: what the fit would say of a row had it not learnt from it, by the row's
-    leverage x' A^-1 x, which each model's own block and the shared covariance give without any large matrix."""
-    wide = rows.withColumn("__x", F.array(*features(year_now).values()))
+    leverage x' A^-1 x, which each model's own block and the shared covariance give without any large matrix. Leverages are
+    reckoned for many rows at once; only what they are made of goes to Python."""
     base = fit.models.filter("trim_id is null").select("model_id", "level", "slope", F.col("inverse").alias("__i2"), F.col("half").alias("__h2"))
     named = fit.models.filter("trim_id is not null").select("model_id", "trim_id", "trim_level", F.col("inverse").alias("__i3"), F.col("half").alias("__h3"))
-    both = wide.join(base, "model_id").join(named, ["model_id", "trim_id"], "left")
-    extra = ["level", "slope", "trim_level", "__x", "__i2", "__h2", "__i3", "__h3"]
-    both = both.select(*rows.columns, *extra)
-    c, shared = fit.covariance, np.array(list(fit.shared.values()))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.stack(batch["__x"]) if len(batch) else np.zeros((0, N))
-            leverage = np.zeros(len(batch))
-            for k, (v, i2, h2, i3, h3) in enumerate(zip(x, batch["__i2"], batch["__h2"], batch["__i3"], batch["__h3"], strict=True)):
-                i, h, size = (i2, h2, 2) if i3 is None else (i3, h3, 3)
-                m = np.array([1.0, v[0], 1.0][:size])
-                u = v - np.asarray(h).reshape(N, size) @ m
-                leverage[k] = m @ np.asarray(i).reshape(size, size) @ m + u @ c @ u
-            value = batch["level"] + batch["slope"] * x[:, 0] + batch["trim_level"].fillna(0.0) + x[:, 1:] @ shared[1:]
-            y = np.log(batch["asking_price"].to_numpy(float))
-            out = batch.drop(columns=extra)
-            yield out.assign(ln_value=value, ln_left_out=y - (y - value.to_numpy(float)) / np.maximum(1 - leverage, 1e-6))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return both.mapInPandas(run, schema + ", ln_value double, ln_left_out double")
+    both = rows.join(base, "model_id").join(named, ["model_id", "trim_id"], "left")
+    c, x = fit.covariance, features(year_now)
+
+    @F.pandas_udf("double")
+    def leverage(parts: pd.Series) -> pd.Series:
+        v = np.stack(parts) if len(parts) else np.zeros((0, N + 9 + 3 * N))
+        own, inverse, half = v[:, :N], v[:, N : N + 9].reshape(-1, 3, 3), v[:, N + 9 :].reshape(-1, N, 3)
+        m = np.column_stack([np.ones(len(v)), own[:, 0], np.ones(len(v))])
+        u = own - np.einsum("njk,nk->nj", half, m)
+        return pd.Series(np.einsum("nj,njk,nk->n", m, inverse, m) + np.einsum("nj,nj->n", u @ c, u))
+
+    parts = F.concat(F.array(*x.values()), F.coalesce("__i3", "__i2"), F.coalesce("__h3", "__h2"))
+    both = both.withColumns({"ln_value": fit.value(x), "__leverage": leverage(parts)})
+    y = F.log("asking_price")
+    said = y - (y - F.col("ln_value")) / F.greatest(1 - F.col("__leverage"), F.lit(1e-6))
+    return both.select(*rows.columns, "ln_value", said.alias("ln_left_out"))
 
 
 def residual_outliers(rows: DataFrame, residual: Column, mads: float = MADS) -> DataFrame:
@@ -310,21 +309,20 @@ class Valuation:
 
 def valuation(rows: DataFrame, year_now: int) -> Valuation:
     """The whole fit: price outliers out, a first fit, residual outliers out, the final fit, segments by leave-one-out
-    errors, and every comparable of a segment with fitted value and is_outlier. What several steps read is
-    written once."""
-    marked = stored(price_outliers(rows, factor=FACTOR).drop("near_median"), "marked")
-    first = marked.filter("not is_outlier")
+    errors, and every comparable of a segment with fitted value and is_outlier. rows are read several times: give written
+    ones. They are written once more, with their residuals; no step joins them by their ids."""
+    columns = rows.columns
+    marked = price_outliers(rows, factor=FACTOR, usual=stored(usual_prices(rows), "usual")).drop("near_median")
+    first = marked.filter("not is_outlier").select(*columns)
     early = ridge(first, year_now)
-    said = early.predicted(first, year_now).select("listing_id", (F.log("asking_price") - F.col("ln_value")).alias("residual"))
-    far = stored(residual_outliers(said, F.col("residual")).filter("is_far").select("listing_id"), "far")
-    kept = stored(first.join(far, "listing_id", "left_anti"), "kept")
+    judged = residual_outliers(early.predicted(first, year_now, name="__said"), F.log("asking_price") - F.col("__said"))
+    judged = judged.select(*columns, F.coalesce("is_far", F.lit(False)).alias("is_outlier"))
+    kept = judged.filter("not is_outlier").select(*columns)
     final = ridge(kept, year_now)
-    parts = segments(left_out(final, kept, year_now), F.exp("ln_left_out"))
-    parts = stored(parts, "segments")
-    gone = marked.filter("is_outlier").select("listing_id").union(far).withColumn("is_outlier", F.lit(True))
-    every = final.predicted(rows.join(parts.select("model_id"), "model_id", "left_semi"), year_now).filter("ln_value is not null")
-    every = every.join(gone, "listing_id", "left").withColumns({"is_outlier": F.coalesce("is_outlier", F.lit(False)), "fitted": F.floor(F.exp("ln_value") + 0.5).cast("long")})
-    return Valuation(final, parts, every)
+    parts = stored(segments(left_out(final, kept, year_now), F.exp("ln_left_out")), "segments")
+    every = marked.filter("is_outlier").select(*columns, "is_outlier").unionByName(judged).join(parts.select("model_id"), "model_id", "left_semi")
+    every = final.predicted(every, year_now).filter("ln_value is not null")
+    return Valuation(final, parts, every.withColumn("fitted", F.floor(F.exp("ln_value") + 0.5).cast("long")))
 
 
 def rated(listings: DataFrame, parts: DataFrame, learnt: DataFrame) -> DataFrame:
@@ -429,8 +427,8 @@ def time_split(rows: DataFrame, cut: Column, as_of: Column, year_now: int) -> Da
 def random_split(rows: DataFrame, year_now: int, seed: int = 51, share: float = 0.8) -> DataFrame:
     """Learns from the rows that a seeded linear congruential sequence picks, row by row in the order of their ids, and
     scores the others. A row's number comes from counts of ranges, and its state of the sequence from its number."""
-    places = numbered(rows, "listing_id").withColumn("__learn", lcg_share(F.col("n"), seed) < share)
-    both = stored(rows.join(places.drop("n"), "listing_id"), "split")
+    places = numbered(rows, "listing_id", *[c for c in rows.columns if c != "listing_id"])
+    both = stored(places.withColumn("__learn", lcg_share(F.col("n"), seed) < share).drop("n"), "split")
     return split_scores(both.filter("__learn").drop("__learn"), both.filter("not __learn").drop("__learn"), year_now)
 
 
